@@ -141,7 +141,35 @@ class Tables:
             F.col("l_shipdate").alias("created_at"),
         )
 
-    # The unpivot is expressed by `inline`; the remaining columns repeat per produced row.
+    @cached_property
+    def rule_fields(self) -> DataFrame:
+        """Answers and extracted values the rules look at, one row per (document, field), absent values left out."""
+        items = {
+            "proposed_use": "CASE WHEN l_partkey % 4 <> 0 THEN 'dwelling' END",
+            "site_address": "CASE WHEN l_partkey % 3 <> 0 THEN concat(l_suppkey % 5 + 1, ' High Street') ELSE ' ' END",
+            "application_ref": "concat('APP/2024/', l_orderkey)",
+            "fee_amount": "CASE l_partkey % 10 WHEN 0 THEN 'n/a' WHEN 1 THEN NULL ELSE cast(cast(l_quantity AS bigint) * 50 - 100 AS string) END",
+            "fee_payment_status": "CASE l_returnflag WHEN 'A' THEN 'paid' WHEN 'R' THEN 'pending' END",
+            "receipt_reference": "CASE WHEN l_suppkey % 7 = 0 THEN concat('RC', l_suppkey) END",
+            "certificate_type": "CASE l_suppkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'owner b' WHEN 2 THEN 'x' WHEN 3 THEN '' WHEN 4 THEN 'D' END",
+            "certificate_name": "CASE l_partkey % 3 WHEN 0 THEN 'Smith' WHEN 1 THEN 'Jones' END",
+            "applicant_name": "CASE WHEN l_suppkey % 2 = 0 THEN 'Jane Smith' END",
+            "listed_building": "CASE WHEN l_suppkey % 5 = 0 THEN 'True' ELSE 'False' END",
+            "tpo": "CASE WHEN l_suppkey % 4 = 0 THEN 'true' END",
+            "flood_zone": "CASE l_partkey % 5 WHEN 0 THEN 'Zone 2' WHEN 1 THEN 'zone 1' END",
+            "constraint_evidence": "CASE WHEN l_partkey % 2 = 0 THEN 'map' END",
+            "bng_applicable": "CASE l_partkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '' END",
+            "bng_percentage": "CASE l_partkey % 3 WHEN 0 THEN '12' WHEN 1 THEN 'abc' ELSE '5' END",
+            "bng_exemption_reason": "CASE WHEN l_suppkey % 3 = 0 THEN 'small site' END",
+            "location_plan_scale": "CASE l_suppkey % 3 WHEN 0 THEN '1 : 1250 @A3' WHEN 1 THEN '1:500' END",
+            "site_plan_north_arrow": "CASE WHEN l_partkey % 2 = 0 THEN 'true' END",
+            "site_plan_scale_bar": "CASE WHEN l_suppkey % 2 = 0 THEN 'true' ELSE 'false' END",
+            "registered_in_m3": "CASE WHEN l_partkey % 2 = 0 THEN 'true' END",
+        }
+        structs = ", ".join(f"named_struct('field_name', '{name}', 'field_value', {value})" for name, value in items.items())
+        return self._lines.select(
+            "document_id", F.col("l_orderkey").alias("submission_id"), F.col("l_shipdate").alias("created_at"), F.expr(f"inline(array({structs}))")
+        ).where(F.col("field_value").isNotNull()).withColumn("confidence", F.lit(0.8))
 
     @cached_property
     def checks(self) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.operators.ordered import number_within
+from casegrid.sources.spread import spread_small_scan
 
 # Words used for the derived case tables.
 DOCUMENT_TYPE_BY_LINE = {
@@ -40,7 +41,7 @@ class Tables:
         spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread_small_scan(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     # ---- case side -------------------------------------------------------------------------
 

@@ -3,3 +3,4 @@
 from casegrid.plans import case_queries  # noqa: F401
 from casegrid.plans import version_queries  # noqa: F401
 from casegrid.plans import rule_queries  # noqa: F401
+from casegrid.plans import text_queries  # noqa: F401

@@ -1,0 +1,21 @@
+"""Give every core work when a scan yields fewer splits than the cluster has cores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_INPUT_BYTES = 1 << 19
+LARGE_INPUT_BYTES = 1 << 30
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Redistribute a file scan that would run in fewer tasks than there are cores.
+
+    A file is split by row group only, so a table of some megabytes is one task however many cores there
+    are. Inputs under half a megabyte are not worth a shuffle, and inputs over a gigabyte have splits
+    enough: both are returned as they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not SMALL_INPUT_BYTES <= size <= LARGE_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

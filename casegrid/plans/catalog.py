@@ -5,3 +5,4 @@ from casegrid.plans import version_queries  # noqa: F401
 from casegrid.plans import rule_queries  # noqa: F401
 from casegrid.plans import text_queries  # noqa: F401
 from casegrid.plans import gate_queries  # noqa: F401
+from casegrid.plans import graph_queries  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration's result in the checkpoint folder, so lost executors cost one round at most."""
+    """Write an intermediate result to the shared checkpoint folder and read it back.
+
+    A lost executor costs one round at most, and the next round plans from a small scan with true sizes
+    instead of an ever longer plan with inherited constraints.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = df.sparkSession.sparkContext.getCheckpointDir().rstrip("/")
+    path = f"{folder}/casegrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,10 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIELD_CATEGORIES = {
-    "Location": ["site_address", "postcode"],
-    "Measurements": ["floor_area", "ridge_height", "site_area", "height", "width", "depth"],
-    "Applicant": ["applicant_name", "applicant_email", "applicant_phone", "agent_name"],
-    "Fees": ["fee_amount", "fee_paid", "fee_exemption"],
+    "Application Details": ["application_ref", "application_date", "decision_date", "certificate_type", "fee_amount"],
+    "Site & Applicant": ["site_address", "postcode", "applicant_name", "agent_name"],
+    "Development Details": ["proposed_use", "existing_use", "development_type", "proposal_description", "floor_area", "site_area", "num_dwellings", "num_bedrooms", "building_height", "watercourse_proximity", "num_parking_spaces"],
+    "Constraints": ["heritage_asset", "listed_building", "conservation_area", "tree_preservation_order", "flood_zone"],
+    "Plans & Drawings": ["north_arrow_present", "measurements"],
 }
 
 

@@ -59,7 +59,7 @@ def low_text_documents(t: Tables) -> DataFrame:
 
 @query(
     "J27 S11",
-    """WITH c(field_name, category) AS (VALUES ('floor_area', 'Measurements'), ('ridge_height', 'Measurements'), ('site_address', 'Location'), ('postcode', 'Location'))
+    """WITH c(field_name, category) AS (VALUES ('floor_area', 'Development Details'), ('site_address', 'Site & Applicant'), ('postcode', 'Site & Applicant'), ('application_ref', 'Application Details'))
     SELECT coalesce(c.category, 'Uncategorised') AS category, count(*) AS fields FROM case_fields LEFT JOIN c USING (field_name) GROUP BY 1""",
 )
 def fields_by_category(t: Tables) -> DataFrame:

@@ -178,9 +178,11 @@ def test_requirements_and_catalogue(spark, tmp_path):
 
 def test_files_truth_and_labels(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"x")
-    (tmp_path / "b.PDF").write_bytes(b"")
+    (tmp_path / "b.PDF").write_bytes(b"yy")
     (tmp_path / "c.txt").write_bytes(b"x")
-    assert sorted(r.admit_status for r in S.read_documents(spark, str(tmp_path)).collect()) == ["ok", "rejected_empty"]
+    assert sorted(r.length for r in S.read_documents(spark, str(tmp_path)).collect()) == [1, 2]
+    listed = spark.createDataFrame([("a.pdf", 0), ("a.doc", 5), ("B.PDF", S.LARGE_FILE + 1)], "path string, length long")
+    assert [r.admit_status for r in S.admitted(listed).collect()] == ["rejected_empty", "rejected_type", "large"]
     truth = tmp_path / "truth"
     truth.mkdir()
     (truth / "gt_1.json").write_text(json.dumps({"submission_id": 1, "expected_verdicts": {"R1": "pass"}}))

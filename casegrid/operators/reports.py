@@ -502,3 +502,18 @@ def applied_overrides(checks: DataFrame, overrides: DataFrame) -> DataFrame:
     valid = overrides.where(F.col("override_status").isin(*STATUSES))
     newest = latest(valid, ["check_id"], [F.col("created_at"), F.col("override_id")], ["override_status", "officer_id"])
     return checks.join(newest, "check_id", "left").withColumn("display_status", F.coalesce("override_status", "status"))
+
+
+def check_evidence(checks: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence rows of each check through its list of evidence ids; checks without evidence stay.
+
+    ``checks``: check_id, evidence_ids array. ``evidence``: evidence_id and its columns.
+    """
+    listed = checks.select("check_id", F.posexplode_outer("evidence_ids").alias("pos", "evidence_id"))
+    return listed.join(evidence, "evidence_id", "left")
+
+
+def merge_metadata(stored: Column, update: Column) -> Column:
+    """Two string maps as one; the update wins on equal keys."""
+    left, right = F.coalesce(stored, F.create_map().cast("map<string,string>")), F.coalesce(update, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)

@@ -79,3 +79,53 @@ def file_admission(t: Tables) -> DataFrame:
         F.concat(F.lit("in/"), "l_orderkey", F.when(F.col("l_partkey") % 7 == 0, ".docx").otherwise(".PDF")).alias("path"), size.alias("length")
     )
     return S.admitted(files).groupBy("admit_status").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(
+    "J9 V20",
+    """WITH c AS (SELECT check_id, unnest([CAST(split_part(check_id, '-', 4) AS BIGINT), CAST(split_part(check_id, '-', 4) AS BIGINT) + 1]) AS evidence_id FROM case_checks)
+    SELECT s_nationkey, count(*) AS links, count(DISTINCT c.check_id) AS checks FROM c LEFT JOIN supplier ON s_suppkey = evidence_id GROUP BY 1""",
+)
+def check_evidence(t: Tables) -> DataFrame:
+    from casegrid.operators.reports import check_evidence as linked
+
+    own = F.split("check_id", "-")[3].cast("bigint")
+    checks = t.checks.select("check_id", F.array(own, own + 1).alias("evidence_ids"))
+    evidence = t.raw("supplier").select(F.col("s_suppkey").alias("evidence_id"), "s_nationkey")
+    rows = linked(checks, evidence)
+    per_check = rows.groupBy("s_nationkey", "check_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_check.groupBy("s_nationkey").agg(F.sum("n").alias("links"), F.count(F.lit(1)).alias("checks"))
+
+
+@query(
+    "X22 X10",
+    """SELECT event_id, CASE event_type WHEN 'click' THEN concat(value, ' metres (height)') WHEN 'view' THEN concat('• ', value, ' square metres (from: raw)') WHEN 'error' THEN 'None' WHEN 'signup' THEN concat(event_id, ', x') ELSE props END AS shown FROM events""",
+)
+def formatted_values(t: Tables) -> DataFrame:
+    from casegrid.functions.text import format_json
+
+    kind, value = F.col("event_type"), F.col("value").cast("string")
+    stored = (
+        F.when(kind == "click", F.concat(F.lit("{'value': "), value, F.lit(", 'unit': 'm', 'context': 'height'}")))
+        .when(kind == "view", F.concat(F.lit('[{"value": '), value, F.lit(', "unit": "sqm", "context": "unknown", "raw_text": "raw"}]')))
+        .when(kind == "error", "[]")
+        .when(kind == "signup", F.concat(F.lit('["'), "event_id", F.lit('", "x"]')))
+        .otherwise(F.col("props"))
+    )
+    return t.raw("events").select("event_id", format_json(stored).alias("shown"))
+
+
+@query(
+    "X36",
+    """SELECT event_id, concat('a=', event_type, ',k=', json_extract_string(props, '$.k'), CASE WHEN event_id % 2 = 0 THEN ',z=1' ELSE '' END) AS merged FROM events""",
+)
+def merged_metadata(t: Tables) -> DataFrame:
+    from casegrid.operators.reports import merge_metadata
+
+    stored = F.from_json("props", "map<string,string>")
+    base = F.map_concat(stored, F.create_map(F.lit("a"), F.lit("old")))
+    update = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("a"), F.col("event_type"), F.lit("z"), F.lit("1"))).otherwise(
+        F.create_map(F.lit("a"), F.col("event_type"))
+    )
+    entries = F.array_sort(F.map_entries(merge_metadata(base, update)))
+    return t.raw("events").select("event_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))

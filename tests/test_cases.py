@@ -212,3 +212,12 @@ def test_schemas_parse_and_domains(spark, tmp_path):
     assert domain_violations(row, "officer_overrides").count() == 1
     spark.createDataFrame([(1, 2)], SCHEMAS["run_documents"]).write.parquet(str(tmp_path / "run_documents"))
     assert read_table(spark, str(tmp_path), "run_documents").first().document_id == 2
+
+
+def test_rule_dependencies(spark):
+    rules = spark.createDataFrame(
+        [("A", ["B", "C"], {}, []), ("B", ["C"], {}, []), ("C", [], {}, [])],
+        "rule_id string, triggers_rules array<string>, dependent_fields map<string,string>, required_fields array<string>",
+    )
+    got = {r.rule_id: r.triggered_by_rules for r in D.rule_dependencies(rules).collect()}
+    assert got == {"A": [], "B": ["A"], "C": ["A", "B"]}

@@ -397,11 +397,9 @@ def verdict_comparison(t: Tables) -> DataFrame:
 
 @query("M5")
 def graph_verdicts(t: Tables) -> DataFrame:
-    found = X.detect_conflicts(t.claims)
+    found = X.detect_conflicts(t.claims).withColumn("app_id", F.concat(F.lit("case-"), "app_id"))
     labels, nodes, _ = _given_labels(t)
-    per_app = M.graph_verdicts(found, labels.limit(0).select(F.col("app_id").cast("bigint").alias("app_id"), "node_id", "label"), nodes.select(F.col("app_id").try_cast("bigint").alias("app_id"), "node_id", "node_type"))
-    from_rooms = M.graph_verdicts(found.limit(0).withColumn("app_id", F.col("app_id").cast("string")), labels, nodes)
-    united = per_app.withColumn("app_id", F.col("app_id").cast("string")).unionByName(from_rooms)
+    united = M.graph_verdicts(found, labels, nodes)
     return united.groupBy("status").agg(F.count(F.lit(1)).alias("verdicts"), F.count_distinct("rule_id").alias("rules"))
 
 

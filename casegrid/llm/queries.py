@@ -37,3 +37,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return passage_digests(find_passages(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
+
+
+@query
+def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm.quality_forest import judged_documents
+
+    judged = judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm.near_duplicates import find_groups
+
+    return find_groups(table(spark, sf_dir, "documents"), width=4)

@@ -52,3 +52,46 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casegrid.llm.near_duplicates import find_groups
 
     return find_groups(table(spark, sf_dir, "documents"), width=4)
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: The rules that the url contract names.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm import url_filter
+
+    rules = spark.createDataFrame(URL_RULES, url_filter.SCHEMA)
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE_SQL["op5_url_rules"] = """
+WITH rules(verdict, h, p) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), parts AS (
+  SELECT row_number() OVER () AS row_id, page_id,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), cut AS (
+  SELECT row_id, page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, rest FROM parts
+), named AS (
+  SELECT row_id, page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path
+  FROM cut
+), ranked AS (
+  SELECT n.row_id, n.page_id, n.host, n.path, r.h || r.p AS rule, r.verdict,
+         row_number() OVER (PARTITION BY n.row_id ORDER BY length(r.h || r.p) DESC NULLS LAST, length(r.h) DESC) AS place
+  FROM named n LEFT JOIN rules r
+    ON (n.host = r.h OR ends_with(n.host, '.' || r.h)) AND starts_with(n.path, r.p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE place = 1
+"""

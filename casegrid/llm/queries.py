@@ -95,3 +95,10 @@ WITH rules(verdict, h, p) AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE place = 1
 """
+
+
+@query
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm.personal_data import find, span_digests
+
+    return span_digests(find(table(spark, sf_dir, "documents")))

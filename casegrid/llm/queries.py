@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casegrid.llm.common import table
 
@@ -102,3 +103,20 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casegrid.llm.personal_data import find, span_digests
 
     return span_digests(find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm.site_bayes import judge_sites
+
+    return judge_sites(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm.toxicity import judge, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    categories = {"low_quality": F.lit(1) - F.col("quality"), "toxic": F.col("toxic")}
+    judged = judge(docs, train(docs, labels, categories), list(categories))
+    return judged.withColumnRenamed("marked", "toxic")

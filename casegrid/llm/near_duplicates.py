@@ -5,13 +5,12 @@ shingle; no words, no set). Two documents are linked if 100 * intersection >= pe
 
 1. One scan gives each row its set's size and digest, a SuperMinHash signature cut into bands, and a short sketch.
 2. Documents with equal sets form a class, and the one of least doc_id stands for it; copies are never paired.
-3. Representatives that share a band meet in its bucket. Each bucket has a centre, the member that meets most others
-   over all bands, and every member is verified against the centre on full sets: a star, not all pairs.
-4. What a star leaves open is settled exactly, for members of different groups only. With d = 1 - similarity, a
-   metric, a member at d > 2 * limit from the centre cannot be linked with one at d <= limit. So members linked with
-   the centre meet only those at d <= 2 * limit, and the members not linked with it meet each other in blocks of
-   bounded size, where sketches are compared and only likely pairs go on to verification.
-5. Groups are the connected components of the links; component_id is the least doc_id reachable.
+3. Representatives that share a band meet in its bucket. Every member is verified against the least member on full
+   sets: a star, not all pairs. The least members of the buckets of one group are few, so the pairs are few too.
+4. In buckets that then still hold several groups, a second star starts from the member that meets most others.
+5. What is still open is settled for all: members apart from the centre's group meet the others of their bucket in
+   blocks of bounded size, where sketches are compared, and likely pairs of different groups are verified.
+6. Groups are the connected components of the links; component_id is the least doc_id reachable.
 
 Candidates are lost only by chance: bands 40 of 6 rows miss a pair at 0.8 with probability 5e-6, and the sketch
 limit lies over five standard deviations below 0.8.
@@ -26,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,7 @@ SKETCH = 128
 #: Shingles that a task signs at a time, and representatives of a block whose sketches are compared.
 CHUNK_SHINGLES = 500_000
 BLOCK = 1000
+BLOCK_BYTES = 8_000_000
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -125,7 +126,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return map_rows(docs, SIGNATURES, run)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(a, b, common, total): sizes of intersection and union of the full sets of each pair."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -156,35 +157,82 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return extend_rows(rows, ["text_a", "text_b"], "common long, total long", start, ("text_a", "text_b"))
 
 
-def likely_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different groups in one bucket whose sketches agree enough. Rows: key, rep, component, sketch.
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked on their full sets, written."""
+    checked = overlaps(pairs, texts, width).filter(100 * F.col("common") >= percent * F.col("total"))
+    return cut_lineage(checked.select("a", "b").distinct())
 
-    A bucket is cut into blocks of about ``BLOCK`` members, and each two blocks meet in one task.
+
+def settled(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different groups of one bucket, at least one of the two apart from the centre's group.
+
+    Rows: key, rep, component, apart. The members apart and the others of a bucket are cut into blocks of about
+    ``BLOCK`` members or ``BLOCK_BYTES`` of text; a block of members apart meets each block of its bucket in a task of
+    its own. There sketches are compared all at once, and likely pairs are verified on full sets on the spot, so that
+    only links leave the task. Pairs that a link of the same task has already joined are passed over.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    sizes = cut_lineage(sizes.filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = placed.select("*", other).select("key", "rep", "component", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sized = members.join(texts.select(F.col("doc_id").alias("rep"), "bytes"), "rep")
+    many = lambda side: F.ceil(F.greatest(F.count_if(side) / BLOCK, F.coalesce(F.sum(F.when(side, F.col("bytes"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
+    blocks = cut_lineage(sized.groupBy("key").agg(many(F.col("apart")).alias("parts"), many(~F.col("apart")).alias("others")))
+    placed = members.join(blocks, "key")
+    own = F.when(F.col("apart"), F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.col("parts") + F.pmod(F.xxhash64("rep"), F.col("others"))).cast("int")
+    # block i is apart; j is any block not before it, so that each two blocks meet once
+    first = F.when(F.col("apart"), F.sequence(F.col("block"), F.col("parts") + F.col("others") - 1))
+    as_first = F.transform(first, lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    before = F.when(F.col("apart"), F.col("block")).otherwise(F.col("parts"))
+    as_second = F.when(before > 0, F.transform(F.sequence(F.lit(0), before - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))))
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    meets = F.concat(F.coalesce(as_first, none), F.coalesce(as_second, none))
+    met = placed.withColumn("block", own).select("key", "rep", "component", "block", F.inline(meets))
+    met = cut_lineage(met).join(texts.select(F.col("doc_id").alias("rep"), "text", "sketch"), "rep")
     enough = int(SKETCH * (percent / 100 - 0.2))
 
     def compare(keys, group):
-        import pyarrow as pa
-
-        rep, component = group["rep"].to_numpy(), group["component"].to_numpy()
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype="<u2").reshape(-1, SKETCH)
+        rep, component = group["rep"].to_pylist(), group["component"].to_pylist()
+        short = group["sketch"].to_pylist()
+        sketch = np.frombuffer(b"".join(k or bytes(2 * SKETCH) for k in short), dtype="<u2").reshape(-1, SKETCH)
+        unknown = np.array([k is None for k in short])
+        sets = [shingles(t.encode("utf-8"), width) for t in group["text"].to_pylist()]
+        size = np.array([len(s) for s in sets])
         block = group["block"].to_numpy()
         i, j = keys[1].as_py(), keys[2].as_py()
         first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        up = {c: c for c in component}
+
+        def top(c: int) -> int:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
         a, b = [], []
         for x in first:
-            alike = (sketch[second] == sketch[x]).sum(axis=1) >= enough
-            for y in second[alike & (component[second] != component[x]) & ((rep[second] > rep[x]) | (i != j))]:
-                a.append(min(rep[x], rep[y]))
-                b.append(max(rep[x], rep[y]))
+            least, most = np.minimum(size[second], size[x]), np.maximum(size[second], size[x])
+            alike = ((sketch[second] == sketch[x]).sum(axis=1) >= enough) | unknown[second] | unknown[x]
+            likely = alike & (100 * least >= percent * most)
+            for y in second[likely]:
+                p, q = top(component[x]), top(component[y])
+                if p == q or (i == j and y <= x):
+                    continue
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                    up[max(p, q)] = min(p, q)
+                    a.append(rep[x])
+                    b.append(rep[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return cut_lineage(met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").select(*unordered("a", "b")).distinct())
+
+
+def grouped(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one group, with their ``component``, written."""
+    named = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = cut_lineage(named)
+    open_ = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    return cut_lineage(named.join(cut_lineage(open_), "key", "left_semi"))
+
+
+def unordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def find_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
@@ -196,38 +244,41 @@ def find_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
 
     reps = signed.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["doc_id", "set_key"], "left_semi")
     entries = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
-    shared = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).filter("low < high")
-    members = cut_lineage(entries.join(cut_lineage(shared.select("key", "n")), "key").distinct())
-
-    # the centre of a bucket is the member that meets most others over all bands
-    standing = members.groupBy("rep").agg(F.sum("n").alias("met"))
-    centres = members.join(standing, "rep").groupBy("key").agg(F.max("met").alias("met"))
-    most = members.join(standing, "rep").join(centres, ["key", "met"]).groupBy("key").agg(F.min("rep").alias("centre"))
-    starred = cut_lineage(members.select("key", "rep").join(cut_lineage(most), "key"))
-
-    texts = cut_lineage(given.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    pairs = starred.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = cut_lineage(verified(pairs, texts, width).groupBy("a", "b").agg(F.max(F.col("common") / F.col("total")).alias("share"), F.max(100 * F.col("common") >= percent * F.col("total")).alias("linked")))
-    links = stars.filter("linked").select("a", "b")
+    shared = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    members = cut_lineage(entries.join(cut_lineage(shared.select("key", "low")), "key").distinct())
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    short = signed.filter("sketch is not null").join(wanted, "doc_id", "left_semi").groupBy("doc_id")
+    # an id with several texts has no one sketch: its texts always go on to verification
+    short = short.agg(F.when(F.min("set_key") == F.max("set_key"), F.max("sketch")).alias("sketch"))
+    texts = cut_lineage(given.filter("text is not null").join(short, "doc_id").withColumn("bytes", F.octet_length("text")))
+
+    # first stars: the least member of each bucket
+    tried = cut_lineage(members.filter("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
+    links = verified(tried, texts, width, percent)
     components = least_reachable(links)
 
-    # what the stars leave open, between members of different groups
-    grouped = starred.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = cut_lineage(grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"))
-    if not open_keys.isEmpty():
-        seen = stars.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "share", "linked")
-        known = cut_lineage(grouped.join(open_keys, "key", "left_semi").filter("rep != centre").join(seen, ["centre", "rep"]))
-        apart = known.filter("not linked")
-        sketches = apart.select("key", "rep", "component").join(signed.select(F.col("doc_id").alias("rep"), "sketch").filter("sketch is not null"), "rep")
-        likely = likely_pairs(sketches, percent)
-        limit = 2 * percent / 100 - 1 - 1e-9
-        close = apart.filter(F.col("share") >= limit).select("key", F.col("rep").alias("x"), F.col("component").alias("own"))
-        tied = known.filter("linked").select("key", F.col("rep").alias("y"), "component")
-        across = close.join(tied, "key").filter("own != component").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = verified(likely.union(across).distinct(), texts, width).filter(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
-        more = cut_lineage(more.distinct())
-        if not more.isEmpty():
-            components = least_reachable(links.union(more))
+    # second stars, in buckets of several groups: the member that meets most others
+    open_ = grouped(members.select("key", "rep"), components)
+    if not open_.isEmpty():
+        size = open_.groupBy("key").agg(F.count("*").alias("n"))
+        standing = cut_lineage(open_.join(size, "key").groupBy("rep").agg(F.sum("n").alias("met")))
+        ranked = cut_lineage(open_.join(standing, "rep"))
+        most = ranked.groupBy("key").agg(F.max("met").alias("met"))
+        centre = cut_lineage(ranked.join(most, ["key", "met"]).groupBy("key").agg(F.min("rep").alias("centre")))
+        starred = cut_lineage(open_.join(centre, "key"))
+        across = starred.join(open_.select("key", F.col("rep").alias("centre"), F.col("component").alias("middle")), ["key", "centre"])
+        pairs = across.filter("component != middle").select(*unordered("rep", "centre")).distinct()
+        links = links.union(verified(pairs.join(tried, ["a", "b"], "left_anti"), texts, width, percent))
+        components = least_reachable(links)
+
+        # what is still open: members apart from the centre's group against all others of their bucket
+        rest = grouped(starred.select("key", "rep", "centre"), components)
+        if not rest.isEmpty():
+            middle = rest.select("key", F.col("rep").alias("centre"), F.col("component").alias("middle"))
+            apart = rest.join(middle, ["key", "centre"]).select("key", "rep", "component", (F.col("component") != F.col("middle")).alias("apart"))
+            more = settled(cut_lineage(apart), texts, width, percent)
+            if not more.isEmpty():
+                components = least_reachable(links.union(more))
 
     whole = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     whole = whole.join(components.withColumnRenamed("node", "rep"), "rep", "left")
@@ -239,4 +290,4 @@ def find_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, **settings) -> DataFrame:
     """The documents with one of each group, in their own columns; rows with null doc_id all stay."""
     dropped = find_groups(docs, width, percent, **settings).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")

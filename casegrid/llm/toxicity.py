@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories are columns of the label table, predicted in the given order. Each model is logistic over the presence
-of words and word beginnings (4 to 6 bytes), chosen by their association with the category, and over the log-odds of
+of words and word beginnings (4 to 8 bytes), chosen by their association with the category, and over the log-odds of
 the categories before it. For training, those log-odds are out-of-fold: a row never sees a model that saw the row.
 For use, the models fitted on all rows are run one after the other.
 
@@ -29,7 +29,7 @@ from casegrid.llm.common import bounded_sample, extend_rows, require
 
 #: Lower-cased ASCII letters, digits and other bytes stay; the rest of ASCII parts words.
 _SPLIT = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 FOLDS = 5
 
 
@@ -196,7 +196,7 @@ def scorer(chain: Chain):
     return score
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 8000, n_features: int = 512, max_false_share: float = 0.001, seed: int = 10) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 8000, n_features: int = 512, max_false_share: float = 0.002, seed: int = 10) -> Chain:
     """Fit the chain on at most ``sample_rows`` labelled rows. ``categories``: name to 0/1 column of the label table."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(n) for n, c in categories.items()]).dropna()
     marks = marks.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in categories])

@@ -227,7 +227,7 @@ def mentioning(nodes: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame
     return kept, induced(kept, edges)
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(app_id, node_id, component): smallest reachable id, by min-label spreading with shortcuts.
 
     Each round a node takes the smallest label around it and then that label's own label, so chains
@@ -237,7 +237,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     labels = cut_lineage(nodes.select("app_id", "node_id", key.alias("label")))
     pairs = edges.where(F.col("src") != F.col("dst")).select("app_id", "src", "dst")
     links = cut_lineage(pairs.unionByName(pairs.select("app_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    for _ in range(max_rounds):
+    while True:
         sent = links.join(labels.withColumnRenamed("node_id", "src"), ["app_id", "src"]).select("app_id", F.col("dst").alias("node_id"), "label")
         least = labels.unionByName(sent).groupBy("app_id", "node_id").agg(F.min("label").alias("label"))
         owner = least.select(key.alias("owner"), F.col("label").alias("further"))
@@ -248,7 +248,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         labels = step
         if done:
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame, parts: DataFrame) -> DataFrame:

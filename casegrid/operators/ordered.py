@@ -112,9 +112,3 @@ def global_running_sum(df: DataFrame, order: Sequence[str], value: str, out: str
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(offsets, "__part")
     return joined.withColumn(out, F.col("__before") + F.sum(value).over(inside)).drop("__part", "__before")
-
-
-def broadcast_within(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast hint for a reference table whose size has been checked; larger ones join by shuffle."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df

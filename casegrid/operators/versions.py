@@ -188,7 +188,7 @@ def impacted_rules(items: DataFrame, rules: DataFrame, include_documents: bool =
     return changed.distinct().join(active, "name").select("submission_id", "rule_id").distinct()
 
 
-def cascade_rules(changes: DataFrame, rules: DataFrame, threshold: float = 0.3, max_rounds: int = 50) -> DataFrame:
+def cascade_rules(changes: DataFrame, rules: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Rules hit by changed fields at or above an impact threshold, plus everything they trigger.
 
     ``changes``: (key, field). ``rules``: rule_id, required_fields, dependent_fields map<string,string>
@@ -204,14 +204,15 @@ def cascade_rules(changes: DataFrame, rules: DataFrame, threshold: float = 0.3,
     if triggers.isEmpty():
         return reached.select("key", "rule_id")
     reached = cut_lineage(reached)
-    for step in range(1, max_rounds + 1):
+    step = 0
+    while True:  # every round adds a rule, so there are no more rounds than rules
+        step += 1
         frontier = reached.where(F.col("round") == step - 1)
         found = frontier.join(triggers, "rule_id").select("key", F.col("next").alias("rule_id")).distinct()
         found = cut_lineage(found.join(reached, ["key", "rule_id"], "left_anti").withColumn("round", F.lit(step)))
         if found.isEmpty():
             return reached.select("key", "rule_id")
         reached = cut_lineage(reached.unionByName(found))
-    raise RuntimeError(f"rule cascade not finished after {max_rounds} rounds")
 
 
 def rule_dependencies(rules: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def application_subgraph(t: Tables) -> DataFrame:
 
 @query(
     "G29 A4",
-    f"""WITH RECURSIVE {_GRAPH}, narrow AS (SELECT * FROM gedges WHERE edge_type = 'ADJACENT_TO' AND weight > 25),
+    f"""WITH RECURSIVE {_GRAPH}, narrow AS (SELECT * FROM gedges),
     links AS (SELECT app_id, src AS a, dst AS b FROM narrow UNION SELECT app_id, dst, src FROM narrow),
     reach(app_id, node_id, seen) AS (SELECT app_id, node_id, node_id FROM gnodes UNION SELECT r.app_id, r.node_id, l.b FROM reach r JOIN links l ON l.app_id = r.app_id AND l.a = r.seen),
     comp AS (SELECT app_id, node_id, min(seen) AS c FROM reach GROUP BY 1, 2),
@@ -111,9 +111,9 @@ def application_subgraph(t: Tables) -> DataFrame:
     SELECT app_id, total_nodes, coalesce(total_edges, 0) AS total_edges, round(coalesce(total_edges, 0) / (total_nodes * (total_nodes - 1)), 8) AS density, components, components = 1 AS connected FROM n LEFT JOIN m USING (app_id)""",
 )
 def graph_summary(t: Tables) -> DataFrame:
-    """Summary of the sparse part of each graph (strong adjacency), where components are worth counting."""
+    """Counts, density and components of each whole graph."""
     nodes = _nodes(t)
-    edges = _edges(t, nodes).where("edge_type = 'ADJACENT_TO' AND weight > 25")
+    edges = _edges(t, nodes)
     return G.graph_summary(nodes, edges, G.components(nodes, edges))
 
 
@@ -205,7 +205,7 @@ def _spatial_part(t: Tables, resolutions: list[float]) -> tuple[DataFrame, DataF
 def community_quality(t: Tables) -> DataFrame:
     """Communities at two resolutions: their number and modularity per application."""
     nodes, edges = _spatial_part(t, [0.5, 1.0])
-    labels = C.detect(nodes, edges, max_rounds=6, levels=1)
+    labels = C.detect(nodes, edges, levels=1)
     links = C._links(edges.where(F.col("src") != F.col("dst")))
     degree = links.groupBy("app_id", "gamma", F.col("src").alias("node_id")).agg(F.sum("weight").alias("k"))
     quality = C.modularity(links, nodes.join(degree, ["app_id", "gamma", "node_id"], "left").fillna(0.0, ["k"]).select("app_id", "gamma", "node_id", "k"), labels)

@@ -26,8 +26,8 @@ def layouts(spark, *documents):
     return spark.createDataFrame(rows, f"doc_id long, text_blocks array<{BLOCK}>")
 
 
-def fields_of(spark, lines, limits=None):
-    rows = E.field_rows(E.extract(layouts(spark, lines), ["doc_id"], limits), ["doc_id"]).collect()
+def fields_of(spark, lines):
+    rows = E.field_rows(E.extract(layouts(spark, lines), ["doc_id"]), ["doc_id"]).collect()
     return {r.field_name: (r.value, r.confidence) for r in rows}
 
 
@@ -67,10 +67,9 @@ def test_measurements_and_largest_area(spark):
     assert fields_of(spark, PLAN)["site_area_sqm"][0] == "25000.0"
 
 
-def test_limits_are_opt_in(spark):
+def test_whole_documents_are_read(spark):
     late = ["plain line"] * 420 + ["Our ref PP-1234567"]
     assert fields_of(spark, late)["application_ref"] == ("PP-1234567", 0.9)
-    assert "application_ref" not in fields_of(spark, late, P.BLOCK_LIMITS)
 
 
 def test_label_value_in_next_blocks(spark):

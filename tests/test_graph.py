@@ -40,7 +40,7 @@ def test_communities_of_cliques(spark):
     pairs = [("a", f"c{c}n{i}", f"c{c}n{j}", 1.0) for c in range(3) for i in range(5) for j in range(i + 1, 5)]
     nodes = C.with_resolutions(spark.createDataFrame([("a", n) for n in names], "app_id string, node_id string"), [1.0])
     edges = C.with_resolutions(spark.createDataFrame(pairs, "app_id string, src string, dst string, weight double"), [1.0])
-    labels = C.detect(nodes, edges, max_rounds=10, levels=1).collect()
+    labels = C.detect(nodes, edges, levels=1).collect()
     groups = {}
     for r in labels:
         groups.setdefault(r.label, set()).add(r.node_id[:2])

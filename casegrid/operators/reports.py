@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegrid.functions.codes import is_issue, normalise_status, ratio
-from casegrid.operators.ordered import latest, top_per_key
+from casegrid.operators.ordered import latest, number_within, top_per_key
 
 STATUSES = ("pass", "fail", "needs_review")
 
@@ -65,6 +65,22 @@ def with_total(df: DataFrame, matched: DataFrame) -> DataFrame:
     return df.withColumn("total_count", matched.select(F.count(F.lit(1))).scalar())
 
 
+def search_fields(
+    fields: DataFrame,
+    name: str | None = None,
+    value: str | None = None,
+    filters: Mapping[str, object] | None = None,
+    number: int = 1,
+    size: int = 50,
+) -> DataFrame:
+    """Extracted fields by exact name, part of the value and equal keys: one page, oldest first, with the total."""
+    wanted = ilike_any(value, "field_value") & equal_to(filters) & equal_to({"field_name": name})
+    matched = fields.where(wanted)
+    order = [F.col(c) for c in ("created_at", "submission_id", "document_id", "field_name")]
+    columns = ["submission_id", "document_id", "field_name", "field_value", "confidence", "created_at"]
+    return with_total(page(matched, order, number, size).select(*columns), matched)
+
+
 # ---- counts ------------------------------------------------------------------------------------
 
 
@@ -235,6 +251,33 @@ def override_statistics(overrides: DataFrame) -> DataFrame:
     )
 
 
+def override_history(overrides: DataFrame) -> DataFrame:
+    """Every override of each check with its place, newest first.
+
+    The place is the number of overrides of the check less the rank from the oldest; both come from daily counts, so
+    a check with very many overrides is not one task.
+    """
+    ranked = number_within(overrides, ["check_id"], ["created_at", "override_id"], F.date_trunc("day", "created_at"), number="__from_oldest")
+    sizes = overrides.groupBy("check_id").agg(F.count(F.lit(1)).alias("__n"))
+    placed = ranked.join(sizes, "check_id").withColumn("place", F.col("__n") - F.col("__from_oldest") + 1)
+    return placed.drop("__n", "__from_oldest")
+
+
+def latest_feedback(feedback: DataFrame) -> DataFrame:
+    """Feedback on evidence after all upserts: the newest per check, document, page and reviewer."""
+    keys = ["validation_check_id", "document_id", "page_number", "reviewer_id"]
+    return latest(feedback, keys, [F.col("created_at"), F.col("feedback_id")], ["is_relevant", "created_at"])
+
+
+def feedback_summary(feedback: DataFrame) -> DataFrame:
+    """Per check: pages judged, and how many reviewers found relevant or not."""
+    return latest_feedback(feedback).groupBy("validation_check_id").agg(
+        F.count(F.lit(1)).alias("judgements"),
+        F.count_if("is_relevant").alias("relevant"),
+        F.count_if(~F.col("is_relevant")).alias("irrelevant"),
+    )
+
+
 def duplicate_hashes(documents: DataFrame) -> DataFrame:
     """Documents whose content occurs more than once, one row each with the size of its group.
 

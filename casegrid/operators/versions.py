@@ -228,6 +228,14 @@ def rule_dependencies(rules: DataFrame) -> DataFrame:
     )
 
 
+def dependency_rows(rules: DataFrame) -> DataFrame:
+    """One row per rule, direction and other rule; a rule that very many others trigger stays rows."""
+    forward = rules.select("rule_id", F.explode("triggers_rules").alias("other")).distinct()
+    back = forward.select(F.col("other").alias("rule_id"), F.col("rule_id").alias("other"))
+    known = back.join(rules.select("rule_id").distinct(), "rule_id", "left_semi")
+    return forward.withColumn("direction", F.lit("triggers")).unionByName(known.withColumn("direction", F.lit("triggered_by")))
+
+
 # ---- integrity -------------------------------------------------------------------------------
 
 

@@ -7,3 +7,4 @@ from casegrid.plans import text_queries  # noqa: F401
 from casegrid.plans import gate_queries  # noqa: F401
 from casegrid.plans import graph_queries  # noqa: F401
 from casegrid.plans import stream_queries  # noqa: F401
+from casegrid.plans import record_queries  # noqa: F401

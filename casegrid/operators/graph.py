@@ -307,8 +307,15 @@ def geometry_type(feature_type: Column) -> Column:
     )
 
 
-def case_graph(documents: DataFrame, fields: DataFrame, features: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of documents, fields (entities and claims) and geometry, keyed by submission."""
+def case_graph(
+    documents: DataFrame, pages: DataFrame, fields: DataFrame, evidence: DataFrame, features: DataFrame, metrics: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of documents, their pages, fields (entities and claims) and geometry, keyed by submission.
+
+    ``pages``: submission_id, document_id, page_number. ``fields`` carry field_id and evidence_id; ``evidence``:
+    evidence_id, document_id, page_number. Every field row is a claim of its own. A claim, and an entity through its
+    first field, hangs on the page that its evidence names; without evidence, or without such a page, on none.
+    """
     app = F.col("submission_id").alias("app_id")
 
     def node(df: DataFrame, node_id: Column, kind: Column, label: Column) -> DataFrame:
@@ -318,26 +325,31 @@ def case_graph(documents: DataFrame, fields: DataFrame, features: DataFrame, met
         return df.select(app, src.alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"))
 
     doc_id = F.concat(F.lit("doc:"), "document_id")
-    page_id = F.concat(F.lit("page:"), "document_id")
-    claim_id = F.concat(F.lit("claim:"), "document_id", F.lit(":"), "field_name")
+    page_id = F.concat_ws(":", F.lit("page"), "document_id", "page_number")
+    claim_id = F.concat(F.lit("claim:"), "field_id")
     entity_id = F.concat(F.lit("entity:"), entity_key(F.col("field_name")))
     feature_id, metric_id = F.concat(F.lit("geometry:"), "feature_id"), F.concat(F.lit("metric:"), "feature_id", F.lit(":"), "metric_name")
+    sheets = pages.select("submission_id", "document_id", "page_number").distinct()
+    shown = evidence.join(sheets, ["document_id", "page_number"]).select("submission_id", "evidence_id", page_id.alias("page"))
     measured = fields.where(is_measurement(F.col("field_name"), F.col("field_unit")))
-    first = measured.groupBy("submission_id", entity_id.alias("entity")).agg(F.min(F.struct("document_id", "field_name")).alias("f"))
-    named = first.select("submission_id", "entity", F.col("f.field_name").alias("field_name"), F.col("f.document_id").alias("document_id"))
+    first = measured.groupBy("submission_id", entity_id.alias("entity")).agg(
+        F.min(F.struct("document_id", "field_name", "field_id", "evidence_id")).alias("f")
+    )
+    named = first.select("submission_id", "entity", F.col("f.field_name").alias("field_name"), F.col("f.evidence_id").alias("evidence_id"))
     geometry = features.join(metrics, "feature_id")
     nodes = (
         node(documents, doc_id, F.lit("PlanningDocument"), F.col("filename"))
-        .unionByName(node(documents, page_id, F.lit("Page"), F.lit("Page 1")))
+        .unionByName(node(sheets, page_id, F.lit("Page"), F.concat(F.lit("Page "), "page_number")))
         .unionByName(node(named, F.col("entity"), field_entity_type(F.col("field_name")), entity_label(F.col("field_name"))))
         .unionByName(node(fields, claim_id, F.lit("Claim"), F.concat_ws(": ", "field_name", "field_value")))
         .unionByName(node(features, feature_id, geometry_type(F.col("feature_type")), F.col("feature_type")))
         .unionByName(node(geometry, metric_id, F.lit("Claim"), F.concat("metric_name", F.lit(": "), "metric_value", F.lit(" "), "metric_unit")))
     )
+    own = ["submission_id", "evidence_id"]
     edges = (
-        edge(documents, doc_id, page_id, "CONTAINS")
-        .unionByName(edge(named, F.col("entity"), page_id, "EXTRACTED_FROM"))
-        .unionByName(edge(fields, claim_id, page_id, "EXTRACTED_FROM"))
+        edge(sheets, doc_id, page_id, "CONTAINS")
+        .unionByName(edge(named.join(shown, own), F.col("entity"), F.col("page"), "EXTRACTED_FROM"))
+        .unionByName(edge(fields.join(shown, own), claim_id, F.col("page"), "EXTRACTED_FROM"))
         .unionByName(edge(measured, entity_id, claim_id, "CONTAINS"))
         .unionByName(edge(geometry, feature_id, metric_id, "CONTAINS"))
     )
@@ -359,16 +371,25 @@ def page_cliques(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return touching.join(typed, ["app_id", "member"]).select("app_id", "page", "member", "node_type")
 
 
-def clique_counts(cliques: DataFrame) -> DataFrame:
-    """Implied edges per page, by closed form."""
+def clique_counts(cliques: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Implied edges per page, by closed form; an adjacency that ``edges`` hold already, either way, is not implied."""
     solid = F.count_if(F.col("node_type").isin("Room", "Building"))
     per = cliques.groupBy("app_id", "page").agg(
         solid.alias("solid"), F.count_if(F.col("node_type") == "Room").alias("rooms"), F.count_if(F.col("node_type") == "Opening").alias("openings")
     )
-    return per.select(
+    counted = per.withColumn("stated", F.lit(0))
+    if edges is not None:
+        solid_members = cliques.where(F.col("node_type").isin("Room", "Building")).select("app_id", "page", "member")
+        pairs = edges.where(F.col("src") != F.col("dst")).select("app_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+        both = pairs.join(solid_members.withColumnRenamed("member", "a"), ["app_id", "a"]).join(
+            solid_members.withColumnRenamed("member", "b"), ["app_id", "page", "b"]
+        )
+        stated = both.groupBy("app_id", "page").agg(F.count(F.lit(1)).alias("stated"))
+        counted = per.join(stated, ["app_id", "page"], "left").fillna(0, ["stated"])
+    return counted.select(
         "app_id",
         "page",
-        F.floor(F.col("solid") * (F.col("solid") - 1) / 2).cast("bigint").alias("adjacent_pairs"),
+        (F.floor(F.col("solid") * (F.col("solid") - 1) / 2).cast("bigint") - F.col("stated")).alias("adjacent_pairs"),
         (F.col("rooms") * F.col("openings")).alias("opens_into_pairs"),
     )
 

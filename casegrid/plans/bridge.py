@@ -141,6 +141,31 @@ class Tables:
             F.col("l_shipdate").alias("created_at"),
         )
 
+    @cached_property
+    def pages(self) -> DataFrame:
+        return self.documents.select("submission_id", "document_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("page_count"))).alias("page_number"))
+
+    @cached_property
+    def evidenced_fields(self) -> DataFrame:
+        """Fields with an id of their own and the id of their evidence; references have none."""
+        field_id = F.concat_ws(":", "document_id", "field_name")
+        seen = F.when(F.col("field_name") != "application_ref", F.concat(F.lit("ev:"), field_id))
+        return self.fields.select("*", field_id.alias("field_id"), seen.alias("evidence_id"))
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """The page of each field: the boundary's names a page that no document has."""
+        part = lambda i: F.split("document_id", "-")[i].cast("long")
+        page = (
+            F.when(F.col("field_name") == "floor_area", part(1) % 2 + 1)
+            .when(F.col("field_name") == "ridge_height", part(2) % 2 + 1)
+            .when(F.col("field_name") == "boundary_distance", 99)
+            .when(F.col("field_name") == "site_address", 1)
+            .otherwise(2)
+        )
+        rows = self.evidenced_fields.where("evidence_id IS NOT NULL")
+        return rows.select("evidence_id", "document_id", page.cast("long").alias("page_number"))
+
     @cached_property
     def rule_fields(self) -> DataFrame:
         """Answers and extracted values the rules look at, one row per (document, field), absent values left out."""

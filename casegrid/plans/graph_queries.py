@@ -168,28 +168,53 @@ def conflict_summary(t: Tables) -> DataFrame:
     return X.conflict_summary(X.listed_contradictions(edges))
 
 
+def _case_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return G.case_graph(t.documents, t.pages, t.evidenced_fields, t.evidence, t.features, t.metrics)
+
+
 @query(
-    "A6 A7 J18 X20",
+    "A6 X20",
     """WITH e AS (SELECT DISTINCT submission_id, field_name FROM case_fields WHERE field_name IN ('floor_area', 'ridge_height', 'boundary_distance')),
-    n AS (SELECT submission_id, 'PlanningDocument' AS node_type FROM case_documents UNION ALL SELECT submission_id, 'Page' FROM case_documents UNION ALL SELECT submission_id, CASE field_name WHEN 'floor_area' THEN 'Room' WHEN 'ridge_height' THEN 'Building' ELSE 'Boundary' END FROM e
+    n AS (SELECT submission_id, 'PlanningDocument' AS node_type FROM case_documents UNION ALL SELECT submission_id, 'Page' FROM case_pages UNION ALL SELECT submission_id, CASE field_name WHEN 'floor_area' THEN 'Room' WHEN 'ridge_height' THEN 'Building' ELSE 'Boundary' END FROM e
       UNION ALL SELECT submission_id, 'Claim' FROM case_fields UNION ALL SELECT submission_id, CASE feature_type WHEN 'boundary_fence' THEN 'Boundary' WHEN 'rear_extension' THEN 'Room' ELSE 'Building' END FROM case_features
       UNION ALL SELECT f.submission_id, 'Claim' FROM case_features f JOIN case_metrics USING (feature_id))
-    SELECT submission_id AS app_id, node_type, count(*) AS nodes FROM n GROUP BY 1, 2""",
+    SELECT submission_id AS app_id, node_type, count(*) AS nodes, count(*) AS distinct_ids FROM n GROUP BY 1, 2""",
 )
 def case_graph_nodes(t: Tables) -> DataFrame:
-    nodes, _ = G.case_graph(t.documents, t.fields, t.features, t.metrics)
-    return nodes.groupBy("app_id", "node_type").agg(F.count(F.lit(1)).alias("nodes"))
+    nodes, _ = _case_graph(t)
+    return nodes.groupBy("app_id", "node_type").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("node_id").alias("distinct_ids"))
+
+
+_FIRST_FIELDS = """first AS (SELECT submission_id, field_name, min(document_id) AS document_id FROM case_fields WHERE field_name IN ('floor_area', 'ridge_height', 'boundary_distance') GROUP BY 1, 2),
+    placed AS (SELECT f.submission_id, f.field_name, concat('page:', p.document_id, ':', p.page_number) AS page FROM first f JOIN case_evidence e USING (submission_id, document_id, field_name)
+      JOIN case_pages p ON p.document_id = e.document_id AND p.page_number = e.page_number)"""
+
+
+@query(
+    "A6 J18",
+    f"""WITH {_FIRST_FIELDS},
+    x AS (SELECT submission_id, concat('page:', p.document_id, ':', p.page_number) AS page, 'CONTAINS' AS edge_type, 'doc' AS kind FROM case_pages p
+      UNION ALL SELECT submission_id, page, 'EXTRACTED_FROM', 'entity' FROM placed
+      UNION ALL SELECT e.submission_id, concat('page:', p.document_id, ':', p.page_number), 'EXTRACTED_FROM', 'claim' FROM case_evidence e JOIN case_pages p ON p.document_id = e.document_id AND p.page_number = e.page_number)
+    SELECT submission_id AS app_id, page, edge_type, kind, count(*) AS edges FROM x GROUP BY 1, 2, 3, 4""",
+)
+def case_page_links(t: Tables) -> DataFrame:
+    """What hangs on each page: its document, the claims its evidence shows, and entities through their first field."""
+    _, edges = _case_graph(t)
+    kind = F.split("src", ":")[0]
+    return edges.where(F.col("dst").startswith("page:")).groupBy("app_id", F.col("dst").alias("page"), "edge_type", kind.alias("kind")).agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query(
     "A7 A6",
-    """WITH m AS (SELECT l_orderkey AS app_id, min(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)) AS page FROM lineitem GROUP BY 1)
-    SELECT app_id, concat('page:', page) AS page, 1 AS adjacent_pairs, 0 AS opens_into_pairs FROM m""",
+    f"""WITH {_FIRST_FIELDS}
+    SELECT submission_id AS app_id, page, CAST(count(*) FILTER (field_name <> 'boundary_distance') * (count(*) FILTER (field_name <> 'boundary_distance') - 1) / 2 AS BIGINT) AS adjacent_pairs, 0 AS opens_into_pairs
+    FROM placed GROUP BY 1, 2""",
 )
 def implied_page_edges(t: Tables) -> DataFrame:
-    """Field entities all hang on the first document's page: one room and one building there imply one adjacency."""
-    nodes, edges = G.case_graph(t.documents, t.fields, t.features, t.metrics)
-    return G.clique_counts(G.page_cliques(nodes, edges))
+    """Room and building of a submission are adjacent where the evidence of their first fields names one page."""
+    nodes, edges = _case_graph(t)
+    return G.clique_counts(G.page_cliques(nodes, edges), edges)
 
 
 def _spatial_part(t: Tables, resolutions: list[float]) -> tuple[DataFrame, DataFrame]:

@@ -59,6 +59,13 @@ VIEWS: dict[str, str] = {
             _field("application_ref", "concat('APP/2024/', l_orderkey)", "NULL"),
         ]
     ),
+    "case_pages": "SELECT submission_id, document_id, unnest(range(1, page_count + 1)) AS page_number FROM case_documents",
+    "case_evidence": """
+        SELECT submission_id, document_id, field_name,
+          CASE field_name WHEN 'floor_area' THEN CAST(split_part(document_id, '-', 2) AS BIGINT) % 2 + 1
+            WHEN 'ridge_height' THEN CAST(split_part(document_id, '-', 3) AS BIGINT) % 2 + 1
+            WHEN 'boundary_distance' THEN 99 WHEN 'site_address' THEN 1 ELSE 2 END AS page_number
+        FROM case_fields WHERE field_name <> 'application_ref'""",
     "case_checks": f"""
         SELECT {_LINE_ID} AS check_id, l_orderkey AS submission_id, {_LINE_ID} AS document_id,
           CASE l_linenumber WHEN 1 THEN 'R1' WHEN 2 THEN 'R2' WHEN 3 THEN 'R3' WHEN 4 THEN 'R4' WHEN 5 THEN 'R5'

@@ -119,3 +119,34 @@ def test_implied_edges(spark):
     assert (row.adjacent_pairs, row.opens_into_pairs) == (1, 2)
     asked = spark.createDataFrame([("a", "r1", "r2"), ("a", "o", "r1"), ("a", "r1", "b")], "app_id string, a string, b string")
     assert {(r.a, r.b, r.edge_type) for r in G.implied_edge(asked, cliques).collect()} == {("r1", "r2", "ADJACENT_TO"), ("o", "r1", "OPENS_INTO")}
+
+
+def test_case_graph_links_claims_to_evidence_pages(spark):
+    documents = spark.createDataFrame([(1, "d1", "form.pdf"), (1, "d2", "plan.pdf")], "submission_id long, document_id string, filename string")
+    pages = spark.createDataFrame([(1, "d1", 1), (1, "d1", 2), (1, "d2", 1)], "submission_id long, document_id string, page_number long")
+    fields = spark.createDataFrame(
+        [
+            (1, "d1", "floor_area", "10", "sqm", "f1", "e1"),
+            (1, "d1", "floor_area", "12", "sqm", "f2", "e2"),
+            (1, "d2", "ridge_height", "5", "m", "f3", "e3"),
+            (1, "d2", "note", "x", None, "f4", None),
+            (1, "d2", "note", "x", None, "f5", "e5"),
+        ],
+        "submission_id long, document_id string, field_name string, field_value string, field_unit string, field_id string, evidence_id string",
+    )
+    evidence = spark.createDataFrame(
+        [("e1", "d1", 2), ("e2", "d1", 1), ("e3", "d1", 2), ("e5", "d2", 7)], "evidence_id string, document_id string, page_number long"
+    )
+    features = spark.createDataFrame([], "submission_id long, feature_id string, feature_type string")
+    metrics = spark.createDataFrame([], "feature_id string, metric_name string, metric_value double, metric_unit string")
+    nodes, edges = G.case_graph(documents, pages, fields, evidence, features, metrics)
+    ids = [r.node_id for r in nodes.collect()]
+    assert len(ids) == len(set(ids)) == 2 + 3 + 2 + 5
+    shown = {(r.src, r.dst) for r in edges.where("edge_type = 'EXTRACTED_FROM'").collect()}
+    entities = {r.label: r.node_id for r in nodes.where("node_id LIKE 'entity:%'").collect()}
+    room, ridge = entities["Floor"], entities["Ridge"]
+    assert shown == {("claim:f1", "page:d1:2"), ("claim:f2", "page:d1:1"), ("claim:f3", "page:d1:2"), (room, "page:d1:2"), (ridge, "page:d1:2")}
+    cliques = G.page_cliques(nodes, edges)
+    assert [tuple(r) for r in G.clique_counts(cliques, edges).collect()] == [(1, "page:d1:2", 1, 0)]
+    stated = edges.unionByName(spark.createDataFrame([(1, ridge, room, "ADJACENT_TO")], edges.schema))
+    assert [tuple(r) for r in G.clique_counts(cliques, stated).collect()] == [(1, "page:d1:2", 0, 0)]

@@ -198,16 +198,21 @@ def _lines(content: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
+def _shifted(lines: Column) -> Column:
+    """The line after each line; lines are paired with it once, not looked up by number."""
+    return F.slice(lines, F.lit(2), F.size(lines))
+
+
 def label_entries(blocks: Column) -> Column:
     """Label/value pairs in reading order: `label: value` on one line, or a bare label with the next line."""
 
     def of_block(b: Column) -> Column:
         lines = _lines(b["content"])
 
-        def entry(line: Column, i: Column) -> Column:
+        def entry(line: Column, next_line: Column) -> Column:
             label = F.trim(F.substring_index(line, ":", 1))
             value = F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
-            following = F.coalesce(F.get(lines, i + 1), F.lit(""))
+            following = F.coalesce(next_line, F.lit(""))
             bare = F.trim(F.substring(line, F.lit(1), F.length(line) - 1))
             same = line.contains(":") & (label != "") & (value != "")
             below = line.endswith(":") & (bare != "") & (following != "")
@@ -215,7 +220,7 @@ def label_entries(blocks: Column) -> Column:
                 same, F.struct(X.normalise_label(label).alias("label"), value.alias("value"))
             ).when(below, F.struct(X.normalise_label(bare).alias("label"), following.alias("value")))
 
-        return F.filter(F.transform(lines, entry), lambda e: e.isNotNull())
+        return F.filter(F.zip_with(lines, _shifted(lines), entry), lambda e: e.isNotNull())
 
     return F.coalesce(F.flatten(F.transform(blocks, of_block)), F.array().cast(f"array<{ENTRY}>"))
 
@@ -246,17 +251,13 @@ def keyword_value(field_name: str, entries: Column, blocks: Column) -> Column:
     first = F.get(F.filter(entries, lambda e: e["label"].contains(key)), 0)["label"]
     partial = F.get(F.transform(F.slice(F.reverse(F.filter(entries, lambda e: e["label"] == first)), 1, 1), lambda e: e["value"]), 0)
     candidates = [exact, partial]
-    lines = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.coalesce(b["content"], F.lit("")), r"\r\n|\n|\r"),
-                lambda line, i: F.struct(
-                    line.alias("line"), F.get(F.split(F.coalesce(b["content"], F.lit("")), r"\r\n|\n|\r"), i + 1).alias("next")
-                ),
-            ),
-        )
-    )
+
+    def paired(b: Column) -> Column:
+        own = F.split(F.coalesce(b["content"], F.lit("")), r"\r\n|\n|\r")
+        both = F.zip_with(own, _shifted(own), lambda line, following: F.struct(line.alias("line"), following.alias("next")))
+        return F.filter(both, lambda x: x["line"].isNotNull())
+
+    lines = F.flatten(F.transform(blocks, paired))
     for word in forms:
         candidates.append(F.get(F.filter(F.transform(lines, _line_value(word)), lambda v: v.isNotNull()), 0))
     whole = F.array_join(F.filter(F.transform(blocks, lambda b: b["content"]), lambda c: F.coalesce(c, F.lit("")) != ""), "\n")

@@ -70,13 +70,23 @@ def all_text(blocks: Column, tables: Column | None = None) -> Column:
 
 
 def page_texts(layouts: DataFrame, *keys: str, tables: str | None = None) -> DataFrame:
-    """(keys, page_number, text), still one pass inside each row: the pages of a row are its distinct page numbers."""
-    texts = _texts(F.col("text_blocks"), F.col(tables) if tables else None)
-    staged = layouts.select(*keys, texts.alias("__texts"))
-    pages = F.array_distinct(F.transform("__texts", lambda x: x["page"]))
-    paged = staged.select(*keys, "__texts", F.explode(pages).alias("page_number"))
-    own = F.filter("__texts", lambda x: (x["page"] == F.col("page_number")) & (F.coalesce(x["text"], F.lit("")) != ""))
-    return paged.select(*keys, "page_number", F.array_join(F.transform(own, lambda x: x["text"]), "\n").alias("text"))
+    """(keys, page_number, text), one pass inside each row.
+
+    Texts are sorted by page once; each page is then a run of that list, cut out by its bounds.
+    """
+    texts = F.transform(_texts(F.col("text_blocks"), F.col(tables) if tables else None), lambda x, i: F.struct(x["page"].alias("page"), i.alias("i"), x["text"].alias("text")))
+    staged = layouts.select(*keys, F.array_sort(texts).alias("__texts"))
+    at = lambda i: F.get("__texts", i)
+    bounds = F.filter(F.sequence(F.lit(0), F.size("__texts") - 1), lambda i: (i == 0) | ~at(i)["page"].eqNullSafe(at(i - 1)["page"]))
+    staged = staged.select("*", F.when(F.size("__texts") > 0, bounds).alias("__starts"))
+    ends = F.concat(F.slice("__starts", F.lit(2), F.size("__starts")), F.array(F.size("__texts")))
+    spans = F.zip_with("__starts", ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+    def page(span: Column) -> Column:
+        own = F.filter(F.slice("__texts", span["s"] + 1, span["e"] - span["s"]), lambda x: F.coalesce(x["text"], F.lit("")) != "")
+        return F.struct(at(span["s"])["page"].alias("page_number"), F.array_join(F.transform(own, lambda x: x["text"]), "\n").alias("text"))
+
+    return staged.select(*keys, F.inline(F.transform(spans, page)))
 
 
 def merge_parts(parts: DataFrame, *keys: str) -> DataFrame:

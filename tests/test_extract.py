@@ -118,3 +118,24 @@ def test_responses_fill_gaps_only(spark):
 def test_resolver_status(spark):
     df = spark.createDataFrame([("v", 0.7), ("v", 0.6), (None, 0.9)], "v string, c double")
     assert [r[0] for r in df.select(G.resolver_status(F.col("v"), F.col("c"))).collect()] == ["pass", "needs_review", "fail"]
+
+
+def test_long_documents_stay_linear(spark):
+    """A block of many lines and a document of many pages; both took quadratic time before."""
+    import time
+
+    from casegrid.operators.gate import keyword_value, label_entries
+    from casegrid.sources.layout import page_texts
+    from pyspark.sql import functions as F
+
+    lines = "\n".join(f"label {i}:\nvalue {i}" for i in range(5000))
+    one = layouts(spark, [lines]).select("*", label_entries(F.col("text_blocks")).alias("e"))
+    start = time.time()
+    row = one.select(F.size("e").alias("n"), F.element_at("e", -1).alias("last"), keyword_value("label_4999", F.col("e"), F.col("text_blocks")).alias("v")).first()
+    assert row.n == 5000 and row["last"].value == "value 4999" and row.v == "value 4999"
+    block = F.struct(F.concat(F.lit("text "), F.col("id")).alias("content"), (F.floor(F.col("id") / 10) + 1).alias("page_number"), F.col("id").alias("index"))
+    many = spark.range(20_000).groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("o"), block.alias("b")))).alias("x"))
+    whole = many.select(F.lit(1).alias("doc_id"), F.transform("x", lambda x: x["b"]).alias("text_blocks"))
+    pages = {r.page_number: r.text for r in page_texts(whole, "doc_id").collect()}
+    assert len(pages) == 2000 and pages[2000].split("\n") == [f"text {i}" for i in range(19_990, 20_000)]
+    assert time.time() - start < 60

@@ -92,7 +92,7 @@ def case_list(t: Tables) -> DataFrame:
 
 
 @query(
-    "F1 F2 F3 T1 T2 J1 G1 W1 S23",
+    "F1 F2 F3 T1 T2 J1 G1 W1",
     """WITH hit AS (SELECT * FROM applications WHERE (application_ref ILIKE '%7%' OR applicant_name ILIKE '%7%') AND application_type = 'householder'
         AND created_at >= TIMESTAMP '2023-02-01' AND created_at <= TIMESTAMP '2023-11-30'),
     shown AS (SELECT * FROM hit ORDER BY id LIMIT 20 OFFSET 20),
@@ -228,7 +228,7 @@ def case_status_distribution(t: Tables) -> DataFrame:
 
 
 @query(
-    "G9 T9 D23 F26",
+    "G9 D23 F26",
     """WITH o AS (SELECT event_id, concat('c', check_no) AS check_id, CASE WHEN run_id % 10 = 0 THEN NULL ELSE concat('officer-', run_id % 50) END AS officer FROM review_events WHERE decision <> 'need_info')
     SELECT coalesce(officer, 'Unknown') AS officer, count(*) AS override_count, (SELECT count(DISTINCT officer) FROM o) AS active_officers FROM o GROUP BY 1""",
 )
@@ -249,7 +249,7 @@ def _overrides(t: Tables) -> DataFrame:
 
 
 @query(
-    "D23 T9 F26 W1",
+    "D23 F26 W1",
     """WITH o AS (SELECT event_id, check_no, CASE decision WHEN 'accept' THEN 'pass' ELSE 'fail' END AS override_status, ts FROM review_events WHERE decision <> 'need_info'),
     lo AS (SELECT check_no, override_status FROM (SELECT *, row_number() OVER (PARTITION BY check_no ORDER BY ts DESC, event_id DESC) AS rn FROM o) WHERE rn = 1),
     c AS (SELECT *, CAST(split_part(check_id, '-', 3) AS BIGINT) AS check_no FROM case_checks)
@@ -383,7 +383,7 @@ def field_conflicts(t: Tables) -> DataFrame:
 
 
 @query(
-    "G16 D24 T9",
+    "G16 D24",
     """WITH r AS (SELECT * FROM (SELECT run_id AS submission_id, CASE check_no % 3 WHEN 0 THEN 'postcode' WHEN 1 THEN 'floor_area' ELSE 'site_address' END AS field_name,
         concat('chosen-', check_no) AS chosen_value, concat('officer-', event_id) AS officer_id, ts FROM review_events)
       QUALIFY row_number() OVER (PARTITION BY submission_id, field_name ORDER BY ts DESC, officer_id DESC) = 1)
@@ -403,7 +403,7 @@ def field_view(t: Tables) -> DataFrame:
 
 
 @query(
-    "G48 V3 W14",
+    "G48 V3",
     """WITH k AS (SELECT submission_id, field_name FROM case_fields GROUP BY 1, 2 HAVING count(DISTINCT coalesce(field_value, chr(0))) > 1),
     v AS (SELECT f.* FROM case_fields f JOIN k USING (submission_id, field_name))
     SELECT submission_id, field_name, field_value, count(*) AS occurrences, array_to_string(list_sort(list(document_id ORDER BY document_id)[1:2]), ',') AS first_sources
@@ -514,7 +514,7 @@ def severity_buckets(t: Tables) -> DataFrame:
 
 
 @query(
-    "J24 G25 S14",
+    "J24 G25",
     """WITH c AS (SELECT *, input_tokens / 1e6 * CASE WHEN lower(model) LIKE '%gpt-4o%' THEN 2.5 WHEN lower(model) LIKE '%text-embedding-3-small%' THEN 0.02 WHEN lower(model) LIKE '%text-embedding-3-large%' THEN 0.13 ELSE 2.5 END
       + output_tokens / 1e6 * CASE WHEN lower(model) LIKE '%gpt-4o%' THEN 10.0 WHEN lower(model) LIKE '%text-embedding%' THEN 0.0 ELSE 10.0 END AS cost FROM usage_calls)
     SELECT operation, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(cost)::DOUBLE, 4) AS cost_usd,

@@ -70,7 +70,7 @@ def extraction_kpis(t: Tables) -> DataFrame:
 
 
 @query(
-    "G18 S14",
+    "G18",
     """WITH k AS (SELECT document_id, count(*) FILTER (status = 'pass') AS p, count(*) FILTER (status = 'needs_review') AS r, count(*) FILTER (status = 'fail') AS f,
       count(*) FILTER (status <> 'pass' AND severity = 'error') > 0 AS n FROM case_checks GROUP BY 1)
     SELECT concat('P:', p, ' R:', r, ' F:', f) AS outcome, count(*) AS documents, count(*) FILTER (n) AS needing_resolver FROM k GROUP BY 1""",
@@ -128,7 +128,7 @@ def single_field_checks(t: Tables) -> DataFrame:
     return G.single_field_checks(t.layouts, "doc_id")
 
 
-@query("E21 V19 W14")
+@query("E21")
 def document_evidence(t: Tables) -> DataFrame:
     """Evidence of all kinds counted per document, with the first snippets a finding would show."""
     found = extracted(t)
@@ -142,7 +142,7 @@ def low_confidence_fields(t: Tables) -> DataFrame:
 
 
 @query(
-    "V22 X26 G47 V21",
+    "V22 X26 G47",
     """SELECT CASE status WHEN 'fail' THEN 'critical' ELSE 'warning' END AS severity, CASE WHEN contains(lower(rule_id), 'document') OR contains(lower(rule_id), 'missing') THEN 'missing_document' ELSE 'other' END AS category,
       CASE status WHEN 'fail' THEN 'provide_explanation' ELSE 'review_evidence' END AS action, count(*) AS issues, min(concat(submission_id, '_', rule_id, '_', document_id)) AS first_issue
     FROM case_checks WHERE status <> 'pass' GROUP BY 1, 2, 3""",

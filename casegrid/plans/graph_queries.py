@@ -46,7 +46,7 @@ def _edges(t: Tables, nodes: DataFrame) -> DataFrame:
     return G.relationship_edges(nodes, t.relationships)
 
 
-@query("A1 J16 J17 X19 S12", f"WITH {_GRAPH} SELECT app_id, node_id, node_type, label, source, titles FROM gnodes")
+@query("A1 J16 J17 X19", f"WITH {_GRAPH} SELECT app_id, node_id, node_type, label, source, titles FROM gnodes")
 def graph_nodes(t: Tables) -> DataFrame:
     return _nodes(t).select("app_id", "node_id", "node_type", "label", "source", F.array_join("doc_titles", ",").alias("titles"))
 

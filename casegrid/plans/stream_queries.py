@@ -41,7 +41,7 @@ def decision_snapshot(t: Tables) -> DataFrame:
 
 
 @query(
-    "ST2 D17",
+    "D17",
     "SELECT count(*) AS first_arrivals FROM (SELECT DISTINCT content_hash FROM case_documents)",
 )
 def first_arrivals(t: Tables) -> DataFrame:
@@ -58,7 +58,7 @@ def low_text_documents(t: Tables) -> DataFrame:
 
 
 @query(
-    "J27 S11",
+    "J27",
     """WITH c(field_name, category) AS (VALUES ('floor_area', 'Development Details'), ('site_address', 'Site & Applicant'), ('postcode', 'Site & Applicant'), ('application_ref', 'Application Details'))
     SELECT coalesce(c.category, 'Uncategorised') AS category, count(*) AS fields FROM case_fields LEFT JOIN c USING (field_name) GROUP BY 1""",
 )
@@ -69,7 +69,7 @@ def fields_by_category(t: Tables) -> DataFrame:
 
 
 @query(
-    "S5 S6 S8 X27",
+    "S8 X27",
     """SELECT admit_status, count(*) AS files FROM (SELECT CASE WHEN l_partkey % 7 = 0 THEN 'rejected_type' WHEN l_quantity < 2 THEN 'rejected_empty' WHEN l_quantity > 49 THEN 'large' ELSE 'ok' END AS admit_status FROM lineitem) GROUP BY 1""",
 )
 def file_admission(t: Tables) -> DataFrame:

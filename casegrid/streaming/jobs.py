@@ -76,6 +76,20 @@ def upsert_latest(snapshot: DataFrame, batch: DataFrame, keys: Sequence[str], or
     return latest(united, list(keys), [F.col(c) for c in order], columns)
 
 
+def upsert_writer(folder: str, keys: Sequence[str], order: Sequence[str]):
+    """A ``foreachBatch`` function that keeps the newest row per key as one snapshot per batch.
+
+    Batch n is merged into the snapshot of batch n - 1 and written under its own number, so a batch that is run again
+    after a failure writes the same snapshot again. Readers take the snapshot of the last finished batch.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = batch.limit(0) if batch_id == 0 else batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/batch={batch_id - 1}")
+        upsert_latest(before, batch, keys, order).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return write
+
+
 # ---- alert throttle ----------------------------------------------------------------------------
 
 

@@ -10,19 +10,32 @@ sys.path.insert(0, ROOT)
 from casegrid.plans.registry import all_queries  # noqa: E402
 
 ELSEWHERE = {
+    "S3": "`sources/layout.read_layouts`, `tests/test_extract.py`",
+    "S4": "`sources/layout.explode_blocks`, `tests/test_sources.py`",
+    "S5": "`sources/layout.explode_cells`, `tests/test_extract.py`",
+    "S6": "`sources/files.read_documents`, `tests/test_cases.py`",
+    "S9": "`sources/files.read_catalogue`, `tests/test_sources.py`",
+    "S11": "`functions/text.split_list` through `read_requirements`, `tests/test_cases.py`",
+    "S12": "`sources/files.read_graph_table`, `tests/test_cases.py`",
+    "S14": "`sources/files.read_batch_results`, `tests/test_sources.py`",
+    "S23": "`sources/tables.for_key`, `tests/test_sources.py`",
+    "V21": "`operators/gate.resolver_status`, `tests/test_extract.py`",
+    "ST2": "`streaming/jobs.first_arrivals`, `tests/test_cases.py`",
+    "ST6": "`streaming/jobs.spend`, `tests/test_sources.py`",
+    "ST7": "`streaming/jobs.daily_counts`, `tests/test_sources.py`",
+    "ST8": "`streaming/jobs.upsert_writer`, `tests/test_sources.py`",
     "S10": "`sources/files.read_requirements`, tested",
     "S13": "`sources/files.read_ground_truth`, tested",
     "S16": "`sources/files.parse_labels`, tested",
     "S22": "`sources/files.read_node_link`, tested",
-    "K1": "`sources/sinks.write_json`",
-    "K2": "`sources/sinks.append_rows`, `append_jdbc`",
-    "K3": "`sources/sinks.write_csv`",
+    "K1": "`sources/sinks.write_json`, `tests/test_sources.py`",
+    "K2": "`sources/sinks.append_rows`, `tests/test_sources.py`; `append_jdbc` untried, as no database may be opened",
+    "K3": "`sources/sinks.write_csv`, `tests/test_sources.py`",
     "K5": "`sources/sinks.write_graph`, tested",
-    "K6": "`sources/sinks.write_json`",
+    "K6": "`sources/sinks.write_json`, `tests/test_sources.py`",
     "K7": "`sources/sinks.write_catalogue`, tested",
-    "K8": "`sources/sinks.write_ground_truth`",
+    "K8": "`sources/sinks.write_ground_truth`, `tests/test_sources.py`",
     "J22": "`operators/evaluate.relationship_candidates`, tested",
-    "D7": "`operators/versions.rule_dependencies`, tested",
 }
 
 

@@ -44,14 +44,14 @@ def extraction_to_findings(t: Tables) -> DataFrame:
     return findings.join(kinds, "document_id").groupBy("document_type", "rule_id", "status").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("F22 E23 P4 S15")
+@query("F22 E23 P4")
 def resolver_requests(t: Tables) -> DataFrame:
     subjects, findings = _text_findings(t)
     fired = G.trigger(findings, subjects.select("document_id", "document_type", "block_count"))
     return G.requests(fired).select("document_id", F.array_join("asked_fields", ",").alias("asked_fields"), "payload")
 
 
-@query("G17 S15")
+@query("G17")
 def extraction_kpis(t: Tables) -> DataFrame:
     subjects, findings = _text_findings(t)
     fired = G.trigger(findings, subjects.select("document_id", "document_type", "block_count")).select("document_id", "triggered")

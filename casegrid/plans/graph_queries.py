@@ -420,7 +420,13 @@ def verdict_comparison(t: Tables) -> DataFrame:
     return M.compare_verdicts(flat, graph, expected)
 
 
-@query("M5")
+@query(
+    "M5",
+    f"""WITH {_BRUTE.strip()}, {_COMMUNITY},
+    v AS (SELECT CASE WHEN pct > 0.25 THEN 'fail' ELSE 'warning' END AS status, concat('CONFLICT-', kind, '-', field_name) AS rule_id FROM worst
+      UNION ALL SELECT 'warning', concat('SPATIAL-COMMUNITY-', cl, '-boundary') FROM (SELECT app_id, cl, bool_or(node_type = 'Room') AS rooms, bool_or(node_type = 'Boundary') AS edge FROM l GROUP BY 1, 2) WHERE rooms AND NOT edge)
+    SELECT status, count(*) AS verdicts, count(DISTINCT rule_id) AS rules FROM v GROUP BY 1""",
+)
 def graph_verdicts(t: Tables) -> DataFrame:
     found = X.detect_conflicts(t.claims).withColumn("app_id", F.concat(F.lit("case-"), "app_id"))
     labels, nodes, _ = _given_labels(t)

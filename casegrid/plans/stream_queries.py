@@ -12,7 +12,18 @@ from casegrid.sources import layout as L
 from casegrid.streaming import jobs as J
 
 
-@query("ST5 F23")
+@query(
+    "ST5 F23",
+    """WITH RECURSIVE a AS (SELECT severity AS limiter, epoch(ts) AS s, row_number() OVER (PARTITION BY severity ORDER BY ts, alert_id) AS n FROM alert_events),
+    r(limiter, n, ok, last_sent, one_before) AS (
+      SELECT DISTINCT limiter, CAST(0 AS BIGINT), false, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM a
+      UNION ALL
+      SELECT a.limiter, a.n, r.one_before IS NULL OR r.one_before <= a.s - 600,
+        CASE WHEN r.one_before IS NULL OR r.one_before <= a.s - 600 THEN a.s ELSE r.last_sent END,
+        CASE WHEN r.one_before IS NULL OR r.one_before <= a.s - 600 THEN r.last_sent ELSE r.one_before END
+      FROM r JOIN a ON a.limiter = r.limiter AND a.n = r.n + 1)
+    SELECT limiter, count(*) AS alerts, count(*) FILTER (ok) AS sent FROM r WHERE n > 0 GROUP BY 1""",
+)
 def alert_throttle(t: Tables) -> DataFrame:
     """Per severity: alerts raised and sent when two may pass in any ten minutes."""
     alerts = t.alerts.select(F.col("severity").alias("limiter"), "alert_id", "ts")

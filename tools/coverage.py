@@ -17,6 +17,7 @@ ELSEWHERE = {
     "S9": "`sources/files.read_catalogue`, `tests/test_sources.py`",
     "S11": "`functions/text.split_list` through `read_requirements`, `tests/test_cases.py`",
     "S12": "`sources/files.read_graph_table`, `tests/test_cases.py`",
+    "S15": "`sources/files.read_output_pairs`, `tests/test_sources.py`",
     "S14": "`sources/files.read_batch_results`, `tests/test_sources.py`",
     "S23": "`sources/tables.for_key`, `tests/test_sources.py`",
     "V21": "`operators/gate.resolver_status`, `tests/test_extract.py`",

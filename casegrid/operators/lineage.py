@@ -43,8 +43,8 @@ def _grams(text: Column, size: Column) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size))))
 
 
-def containing_pairs(targets: DataFrame, candidates: DataFrame, gram: int = 8) -> DataFrame:
-    """(target, candidate) for distinct texts where the candidate contains the target."""
+def containing_pairs(targets: DataFrame, candidates: DataFrame, gram: int = 8, least: float = 0.0) -> DataFrame:
+    """(target, candidate) for distinct texts where the candidate contains the target, of at least that similarity."""
     sized = targets.select("target").distinct().where(F.col("target") != "").withColumn("size", F.least(F.length("target"), F.lit(gram)))
     sizes = sized.agg(F.collect_set("size")).scalar()
     index = candidates.select("candidate").distinct().select("candidate", F.explode(F.coalesce(sizes, F.array().cast("array<int>"))).alias("size"))
@@ -53,21 +53,43 @@ def containing_pairs(targets: DataFrame, candidates: DataFrame, gram: int = 8) -
     probes = sized.select("target", F.explode(_grams(F.col("target"), F.col("size"))).alias("gram")).join(frequency, "gram", "left")
     rarest = probes.groupBy("target").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("p"))
     chosen = rarest.where(F.col("p.uses") > 0).select("target", F.col("p.gram").alias("gram"))
-    return chosen.join(index, "gram").where(F.col("candidate").contains(F.col("target"))).select("target", "candidate")
+    alike = similarity(F.col("target"), F.col("candidate")) >= least
+    return chosen.join(index, "gram").where(alike & F.col("candidate").contains(F.col("target"))).select("target", "candidate")
 
 
-def address_matches(targets: DataFrame, applications: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
-    """Up to ``limit`` newest applications whose address contains the target address, per target.
-
-    ``targets``: target_id, address. An application never matches itself. The limit is part of the report;
-    it is applied per distinct address first, so equal addresses are matched once.
-    """
+def _addresses(targets: DataFrame, applications: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cleaned targets (target_id, target, self) and candidates (application_id, candidate, created_at)."""
     cleaned = targets.where(F.col("address").isNotNull()).select(
         "target_id", F.lower(F.trim("address")).alias("target"), F.col("target_id").alias("self")
     )
     addressed = applications.where(F.col("site_address").isNotNull()).select(
         F.col("id").alias("application_id"), F.lower("site_address").alias("candidate"), "created_at"
     )
+    return cleaned, addressed
+
+
+def closest_addresses(targets: DataFrame, applications: DataFrame, least: float = 0.9) -> DataFrame:
+    """The most similar other application whose address contains the target's, over all of them; ties go to the newest.
+
+    Every distinct address keeps its two newest applications, as one of them may be the target itself.
+    """
+    cleaned, addressed = _addresses(targets, applications)
+    newest = [F.col("created_at").desc(), F.col("application_id").desc()]
+    shortlist = top_per_key(addressed, ["candidate"], newest, 2).drop("rank")
+    pairs = containing_pairs(cleaned, shortlist, least=least).withColumn("similarity", similarity(F.col("target"), F.col("candidate")))
+    per_target = top_per_key(pairs.join(shortlist, "candidate"), ["target"], [F.col("similarity").desc(), *newest], 2).drop("rank")
+    others = cleaned.join(per_target, "target").where(F.col("self") != F.col("application_id"))
+    best = top_per_key(others, ["target_id"], [F.col("similarity").desc(), *newest], 1)
+    return best.select("target_id", "application_id", "similarity")
+
+
+def address_matches(targets: DataFrame, applications: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+    """Up to ``limit`` newest applications whose address contains the target address, per target.
+
+    ``targets``: target_id, address. An application never matches itself. The limit is part of the report;
+    it is applied per distinct address first, so equal addresses are matched once.
+    """
+    cleaned, addressed = _addresses(targets, applications)
     newest = [F.col("created_at").desc(), F.col("application_id").desc()]
     shortlist = top_per_key(addressed, ["candidate"], newest, limit + 1).drop("rank")
     pairs = containing_pairs(cleaned, shortlist)
@@ -112,10 +134,11 @@ def potential_parents(targets: DataFrame, by_address: DataFrame, by_postcode: Da
 
 
 def discover_parents(
-    targets: DataFrame, applications: DataFrame, newest_submission: DataFrame, by_address: DataFrame, by_postcode: DataFrame
+    targets: DataFrame, applications: DataFrame, newest_submission: DataFrame, closest: DataFrame, by_postcode: DataFrame
 ) -> DataFrame:
     """Parent submission, confidence and strategy per target: reference, close address, single postcode match.
 
+    ``closest``: target_id, application_id, similarity of the best address, chosen from all candidates.
     ``targets``: target_id, texts array<string> (searched in order). ``newest_submission``: application_id, submission_id.
     """
     newest = newest_submission.select("application_id", "submission_id")
@@ -126,11 +149,7 @@ def discover_parents(
         applications.select(F.col("application_ref").alias("ref"), F.col("id").alias("application_id")), "ref"
     )
     by_ref = named.join(newest, "application_id").select("target_id", F.col("submission_id").alias("ref_submission"), "ref")
-    best = by_address.groupBy("target_id").agg(
-        F.max(F.struct("similarity", (-F.col("rank")).alias("order"), "application_id")).alias("b")
-    )
-    close = best.select("target_id", F.col("b.similarity").alias("similarity"), F.col("b.application_id").alias("application_id"))
-    close = close.where(F.col("similarity") >= 0.9).join(newest, "application_id")
+    close = closest.where(F.col("similarity") >= 0.9).join(newest, "application_id")
     close = close.select("target_id", F.col("submission_id").alias("address_submission"), "similarity")
     shared = by_postcode.groupBy("target_id").agg(F.count(F.lit(1)).alias("matches"), F.min("application_id").alias("application_id"))
     shared = shared.join(newest, "application_id", "left").select("target_id", "matches", F.col("submission_id").alias("postcode_submission"))

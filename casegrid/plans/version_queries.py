@@ -254,9 +254,11 @@ def potential_parents(t: Tables) -> DataFrame:
 
 @query(
     "D10 X28 F20",
-    f"""WITH {_POSTCODES}, {_ADDRESSES}, ls AS (SELECT application_id, id AS sid FROM submissions QUALIFY row_number() OVER (PARTITION BY application_id ORDER BY created_at DESC, id DESC) = 1),
+    f"""WITH {_POSTCODES}, ls AS (SELECT application_id, id AS sid FROM submissions QUALIFY row_number() OVER (PARTITION BY application_id ORDER BY created_at DESC, id DESC) = 1),
     rf AS (SELECT a.id AS target_id, ls.sid FROM applications a JOIN applications b ON b.application_ref = nullif(regexp_extract(a.proposal_description, '(?i)APP[-/]?\\d{{4}}[-/]?\\d+', 0), '') JOIN ls ON ls.application_id = b.id),
-    ba AS (SELECT target_id, application_id, similarity FROM am QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY similarity DESC, rank) = 1),
+    ba AS (SELECT a.id AS target_id, b.id AS application_id, round_even(200.0 * length(a.site_address) / (length(a.site_address) + length(b.site_address)), 0) / 100 AS similarity
+      FROM applications a JOIN applications b ON a.id <> b.id AND contains(lower(b.site_address), lower(trim(a.site_address)))
+      QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY similarity DESC, b.created_at DESC, b.id DESC) = 1),
     ad AS (SELECT target_id, similarity, ls.sid FROM ba JOIN ls USING (application_id) WHERE similarity >= 0.9),
     po AS (SELECT target_id, count(*) AS n, min(application_id) AS application_id FROM pm GROUP BY 1),
     ps AS (SELECT target_id, n, sid FROM po LEFT JOIN ls USING (application_id)),
@@ -268,8 +270,8 @@ def potential_parents(t: Tables) -> DataFrame:
 )
 def parent_discovery(t: Tables) -> DataFrame:
     postcodes = L.postcode_matches(_postcode_targets(t), L.application_postcodes(t.submissions, t.fields), t.applications)
-    addresses = L.address_matches(_targets(t), t.applications)
-    found = L.discover_parents(_targets(t), t.applications, R.latest_submissions(t.submissions), addresses, postcodes)
+    closest = L.closest_addresses(_targets(t), t.applications)
+    found = L.discover_parents(_targets(t), t.applications, R.latest_submissions(t.submissions), closest, postcodes)
     return found.withColumn("link_mode", L.link_mode(F.col("confidence"), F.lit(None)))
 
 

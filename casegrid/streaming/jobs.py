@@ -138,16 +138,20 @@ def throttle(alerts: DataFrame, window: int = 60, most: int = 10) -> DataFrame:
 
 
 def throttle_stream(alerts: DataFrame, window: int = 60, most: int = 10) -> DataFrame:
-    """Stream form: the state per limiter is the times of the alerts sent last."""
+    """Stream form: the state per limiter is the times of the alerts sent last; it goes when the limiter is quiet."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         limiter = _Limiter(window, most, state.get[0] if state.exists else ())
         rows = pd.concat(list(batches)).sort_values(["second", "alert_id"])
         sent = [limiter.admit(at) for at in rows["second"]]
         state.update((list(limiter.sent),))
+        state.setTimeoutDuration(2000 * window)
         yield pd.DataFrame({"limiter": rows["limiter"], "alert_id": rows["alert_id"], "sent": sent})
 
     staged = alerts.select("limiter", "alert_id", F.col("ts").cast("double").alias("second"))
     return staged.groupBy("limiter").applyInPandasWithState(
-        step, "limiter string, alert_id long, sent boolean", "sent array<double>", "append", GroupStateTimeout.NoTimeout
+        step, "limiter string, alert_id long, sent boolean", "sent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )

@@ -43,36 +43,22 @@ CONTEXT = 80
 SPAN = "struct<start:int,end:int,match:string,before:string,after:string>"
 
 
-def located(text: Column, gaps: Column, hits: Column) -> Column:
-    """Spans of the hits, from the stretches between them: array of ``SPAN``.
+#: Lengths added up in one run. What a fold carries is copied at every step, so runs are short and carry numbers only.
+RUN = 256
 
-    Runs of 256 spans are closed as they fill, so that appending stays cheap in texts with very many.
+
+def running_ends(lengths: Column) -> Column:
+    """Running sums of an array of lengths: totals of runs first, then the sums inside each run.
+
+    ``lengths`` should be a column of its own: it is read once for every run.
     """
-    after = F.concat(F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), F.array(F.lit("")))
-    rows = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))), after, lambda x, a: F.struct(x["g"].alias("g"), x["h"].alias("h"), a.alias("a")))
-    none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("closed"), none.alias("run"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["h"])
-        span = F.struct(
-            begin.alias("start"),
-            end.alias("end"),
-            x["h"].alias("match"),
-            F.substring(x["g"], -CONTEXT, CONTEXT).alias("before"),
-            F.substring(x["a"], 1, CONTEXT).alias("after"),
-        )
-        full = F.size(acc["run"]) >= 256
-        return F.when(x["h"].isNull(), acc).otherwise(
-            F.struct(
-                end.alias("at"),
-                F.when(full, F.concat(acc["closed"], F.array(acc["run"]))).otherwise(acc["closed"]).alias("closed"),
-                F.when(full, F.array(span)).otherwise(F.concat(acc["run"], F.array(span))).alias("run"),
-            )
-        )
-
-    return F.aggregate(rows, start, step, lambda acc: F.flatten(F.concat(acc["closed"], F.array(acc["run"]))))
+    add = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int")), lambda r: F.slice(lengths, r * RUN + 1, F.lit(RUN)))
+    totals = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda acc, n: acc + n))
+    starts = F.aggregate(totals, F.array(F.lit(0)), add)
+    none = F.array().cast("array<int>")
+    inside = F.zip_with(runs, starts, lambda run, s: F.slice(F.aggregate(F.coalesce(run, none), F.array(s), add), F.lit(2), F.lit(RUN)))
+    return F.flatten(inside)
 
 
 def _digits(match: Column) -> Column:
@@ -108,23 +94,38 @@ def _check(kind: str):
 
 
 def with_matches(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Adds a column per kind with the spans that pass; reads the column ``text``."""
+    """Adds a column per kind with the spans that pass; reads the column ``text``.
+
+    The stretches between matches and the matches themselves give the places: a match ends at the running sum of both.
+    """
     names = df.columns
+    gaps, hits = [], []
     for kind in kinds:
-        pattern = PATTERNS[kind]
-        there = F.col("text").rlike(pattern)
-        df = df.select(
-            "*",
-            F.when(there, F.split("text", pattern, -1)).alias(f"_gaps_{kind}"),
-            F.when(there, F.regexp_extract_all("text", F.lit(pattern), 0)).alias(f"_hits_{kind}"),
-        )
-    found = []
-    for kind in kinds:
-        spans = F.filter(located(F.col("text"), F.col(f"_gaps_{kind}"), F.col(f"_hits_{kind}")), _check(kind))
-        found.append(F.coalesce(spans, F.array().cast(f"array<{SPAN}>")).alias(kind))
+        there = F.col("text").rlike(PATTERNS[kind])
+        gaps.append(F.when(there, F.split("text", PATTERNS[kind], -1)).alias(f"_gaps_{kind}"))
+        hits.append(F.when(there, F.regexp_extract_all("text", F.lit(PATTERNS[kind]), 0)).alias(f"_hits_{kind}"))
+    df = df.select(*names, *gaps, *hits)
+    both = lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0))
+    df = df.select("*", *[F.zip_with(f"_gaps_{k}", f"_hits_{k}", both).alias(f"_lengths_{k}") for k in kinds])
+    df = df.select("*", *[running_ends(F.col(f"_lengths_{k}")).alias(f"_ends_{k}") for k in kinds])
+    found = [F.coalesce(F.filter(_spans(k), _check(k)), F.array().cast(f"array<{SPAN}>")).alias(k) for k in kinds]
     return df.select(*names, *found)
 
 
+def _spans(kind: str) -> Column:
+    """The matches of a kind with their places and contexts; the stretch after the last match has no match."""
+    gaps, hits = F.col(f"_gaps_{kind}"), F.col(f"_hits_{kind}")
+    n = F.size(hits)
+    around = F.zip_with(
+        F.slice(gaps, F.lit(1), n),
+        F.slice(gaps, F.lit(2), n),
+        lambda g, a: F.struct(F.substring(g, -CONTEXT, CONTEXT).alias("before"), F.substring(a, 1, CONTEXT).alias("after")),
+    )
+    placed = F.zip_with(hits, F.slice(f"_ends_{kind}", F.lit(1), n), lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("match")))
+    span = lambda p, c: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["match"].alias("match"), c["before"].alias("before"), c["after"].alias("after"))
+    return F.zip_with(placed, around, span)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and the spans per kind of every row, written once: all that later steps need of the texts."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker keeps in its word table before it starts anew.
-WORD_TABLE_SIZE = 1_000_000
+WORD_TABLE_SIZE = 200_000
+#: Bytes of a batch that a worker holds at a time, whatever the length of the texts.
+BATCH_BYTES = "4m"
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -27,6 +29,11 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]]) -> DataFrame:
     """Run ``rows`` over the column lists of each Arrow batch; it yields column lists for ``schema``.
 
@@ -52,7 +59,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list
             arrays = [pa.array(made[f.name], type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, fields)
+    return small_batches(df).mapInArrow(run, fields)
 
 
 def extend_rows(
@@ -86,7 +93,7 @@ def extend_rows(
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, fields)
+    return small_batches(df).mapInArrow(run, fields)
 
 
 def neutral(df: DataFrame, *keep: str) -> tuple[DataFrame, list[str]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
 
@@ -35,21 +36,27 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
         alphabet = _byte_alphabet()
         ranks = {}
-        for piece, rank in model["vocab"].items():
+        for piece, rank in whole["model"]["vocab"].items():
             if all(c in alphabet for c in piece):
                 ranks[bytes(alphabet[c] for c in piece)] = rank
-        specials = {t.content.encode() for t in self.plain.get_added_tokens_decoder().values() if t.special}
+        specials = {t["content"].encode() for t in whole.get("added_tokens", []) if t["special"]}
         ranks = {k: v for k, v in ranks.items() if k not in specials}
         self.fast = tiktoken.Encoding("byte_level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def plain(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def __call__(self, text: str) -> np.ndarray:
         try:
             return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)

@@ -178,7 +178,7 @@ def scorer(chain: Chain):
     def hits(word: bytes) -> tuple[int, ...]:
         found = known.get(word)
         if found is None:
-            if len(known) >= 1_000_000:
+            if len(known) >= 200_000:
                 known.clear()
             found = known[word] = tuple(i for i in word_features(word) if i in places)
         return found

@@ -168,6 +168,19 @@ def conflict_summary(t: Tables) -> DataFrame:
     return X.conflict_summary(X.listed_contradictions(edges))
 
 
+@query(
+    "A10",
+    f"""WITH {_BRUTE} SELECT 'CONTRADICTS' AS edge_type, 2 * count(*) AS edges FROM worst UNION ALL SELECT 'NOTES', count(*) FROM case_claims WHERE field_name = 'postcode'""",
+)
+def contradictions_replace_edges(t: Tables) -> DataFrame:
+    """Support between two claims gives way to their contradiction; edges between other nodes stay."""
+    found = X.detect_conflicts(t.claims)
+    support = found.select("app_id", F.col("claim_a_id").alias("src"), F.col("claim_b_id").alias("dst"), F.lit("SUPPORTS").alias("edge_type"))
+    notes = t.claims.where("field_name = 'postcode'").select("app_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit("NOTES").alias("edge_type"))
+    edges = X.contradiction_edges(found, t.claims.select("app_id", "node_id").distinct(), support.distinct().unionByName(notes))
+    return edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"))
+
+
 def _case_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
     return G.case_graph(t.documents, t.pages, t.evidenced_fields, t.evidence, t.features, t.metrics)
 
@@ -289,21 +302,23 @@ def listed_communities(t: Tables) -> DataFrame:
 
 @query(
     "J20 J21 G35",
-    """WITH k AS (SELECT app_id, field_name, arg_max(cl, node_id) AS cl FROM (SELECT app_id, field_name, node_id, CASE WHEN source = 'form' THEN CAST(length(node_id) % 5 AS VARCHAR) END AS cl FROM case_claims) WHERE cl IS NOT NULL GROUP BY 1, 2),
-    c AS (SELECT submission_id AS app_id, check_id, status, CASE rule_id WHEN 'R1' THEN ['site_address'] WHEN 'R2' THEN ['proposed_use', 'postcode'] WHEN 'R3' THEN ['application_ref'] ELSE ['proposed_use'] END AS f FROM case_checks),
+    """WITH k AS (SELECT app_id, field_name, arg_max(cl, node_id) AS cl FROM (SELECT app_id, field_name, node_id, CAST(length(CASE WHEN source = 'form' THEN node_id ELSE concat('f:', substr(node_id, 3), ':floor_area') END) % 5 AS VARCHAR) AS cl FROM case_claims) WHERE cl IS NOT NULL GROUP BY 1, 2),
+    c AS (SELECT submission_id AS app_id, check_id, status, CASE rule_id WHEN 'R1' THEN ['site_address'] WHEN 'R2' THEN ['proposed_use', 'postcode'] WHEN 'R3' THEN ['application_ref'] ELSE ['proposed_use', 'setback_distance'] END AS f FROM case_checks),
     p AS (SELECT c.app_id, c.check_id, c.status, coalesce(a.cl, b.cl, '-1') AS label FROM c LEFT JOIN k a ON a.app_id = c.app_id AND a.field_name = f[1] LEFT JOIN k b ON b.app_id = c.app_id AND b.field_name = f[2])
     SELECT app_id, label, count(*) FILTER (status = 'pass') AS pass, count(*) FILTER (status = 'fail') AS fail, count(*) FILTER (status = 'warning') AS warning, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) AS total FROM p GROUP BY 1, 2""",
 )
 def community_compliance(t: Tables) -> DataFrame:
     labels = t.claims.where("source = 'form'").select("app_id", "node_id", (F.length("node_id") % 5).cast("string").alias("label"))
-    none = t.claims.where("false").select("app_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
-    fields = C.claim_communities(t.claims.select("app_id", "node_id", "field_name"), labels, none)
+    # measured claims have no community of their own: the floor area of the same line comes before them
+    line = F.substring("node_id", F.lit(3), F.length("node_id"))
+    edges = t.claims.where("source = 'geometry'").select("app_id", F.concat(F.lit("f:"), line, F.lit(":floor_area")).alias("src"), F.col("node_id").alias("dst"))
+    fields = C.claim_communities(t.claims.select("app_id", "node_id", "field_name"), labels, edges.distinct())
     rule = F.col("rule_id")
     required = (
         F.when(rule == "R1", F.array(F.lit("site_address")))
         .when(rule == "R2", F.array(F.lit("proposed_use"), F.lit("postcode")))
         .when(rule == "R3", F.array(F.lit("application_ref")))
-        .otherwise(F.array(F.lit("proposed_use")))
+        .otherwise(F.array(F.lit("proposed_use"), F.lit("setback_distance")))
     )
     checks = t.checks.select(F.col("submission_id").alias("app_id"), "check_id", "status", required.alias("required_fields"))
     return C.compliance(checks, fields)
@@ -355,7 +370,7 @@ def sequential_match(t: Tables) -> DataFrame:
     truth = t.claims.where("source = 'geometry'").select(
         "app_id", F.col("node_id").alias("truth_id"), F.col("field_name").alias("label"), F.lit(None).cast("string").alias("match_key"), area.alias("area")
     )
-    predicted = t.claims.where("source = 'form' AND field_name IN ('floor_area', 'ridge_height')").select(
+    predicted = t.claims.where("source = 'form'").select(
         "app_id", F.col("node_id").alias("pred_id"), F.col("field_name").alias("label"), F.lit(None).cast("string").alias("entity_key"), area.alias("area")
     )
     matches = M.greedy_match(M.entity_candidates(truth, predicted, ["app_id"]), ["app_id"])

@@ -303,9 +303,12 @@ def submission_types(t: Tables) -> DataFrame:
     return joined.select("id", kind.alias("k")).select("id", "k.*", L.needs_confirmation(F.col("k.confidence")).alias("needs_confirmation"))
 
 
-@query("D15 J6 F18", "SELECT id AS application_id, 'V0' AS submission_version, 'pending' AS status FROM applications WHERE id NOT IN (SELECT application_id FROM submissions WHERE priority = '1-URGENT' AND status = 'completed')")
+@query("D15 J6 F18", "SELECT id AS application_id, 'V0' AS submission_version, 'pending' AS status FROM (SELECT id FROM applications UNION ALL SELECT s_suppkey + 1000000000 FROM supplier) WHERE id NOT IN (SELECT application_id FROM submissions)")
 def v0_backfill(t: Tables) -> DataFrame:
-    return L.v0_backfill(t.applications, t.submissions.where("priority = '1-URGENT' AND status = 'completed'")).select("application_id", "submission_version", "status")
+    """Applications of customers and, filed without a submission, of suppliers."""
+    filed = t.raw("supplier").select((F.col("s_suppkey") + 1_000_000_000).cast("long").alias("id"), F.lit(None).cast("timestamp").alias("created_at"))
+    every = t.applications.select(F.col("id").cast("long").alias("id"), F.col("created_at").cast("timestamp").alias("created_at")).unionByName(filed)
+    return L.v0_backfill(every, t.submissions).select("application_id", "submission_version", "status")
 
 
 @query(

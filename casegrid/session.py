@@ -39,7 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
+    elif context.master == "local" or context.master.startswith("local["):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="casegrid-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")

@@ -66,7 +66,7 @@ def corpus(seed):
 
 
 def test_groups_equal_brute_force(spark):
-    for seed, width in ((1, 4), (2, 5)):
+    for seed, width in ((1, 4),):
         docs = corpus(seed)
         assert rows(find_groups(edges.plain(spark, docs), width)) == brute(docs, width)
 

@@ -69,10 +69,10 @@ def test_base_spans_equal_brute_force(spark):
         assert made[i] == row(text), text and text[:80]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", [0])
 def test_random_strings_equal_brute_force(spark, seed):
     rng = random.Random(seed)
-    texts = ["".join(rng.choice("a1.@+- ()9_\n😀Z25") for _ in range(rng.randint(0, 120))) for _ in range(400)]
+    texts = ["".join(rng.choice("a1.@+- ()9_\n😀Z25") for _ in range(rng.randint(0, 120))) for _ in range(1000)]
     made = digests(spark, texts)
     assert [made[i] for i in range(len(texts))] == [row(t) for t in texts]
 

@@ -11,6 +11,7 @@ from casegrid.operators import versions as V
 from casegrid.operators.ordered import latest, top_per_key
 from casegrid.plans.bridge import Tables
 from casegrid.plans.registry import query
+from casegrid.session import cut_lineage
 
 _CASE_CHANGES = """
  latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY created_at DESC, id DESC) AS rn FROM submissions) WHERE rn = 1),
@@ -62,12 +63,19 @@ CHANGE_ITEMS_SQL = """
 """
 
 
+def _pairs(t: Tables) -> DataFrame:
+    """All version pairs, written once: every kind of change reads them, and numbering versions is a job of its own."""
+    if not hasattr(t, "written_pairs"):
+        t.written_pairs = cut_lineage(V.version_pairs(t.submissions))
+    return t.written_pairs
+
+
 def all_items(t: Tables) -> DataFrame:
-    return V.change_items(V.version_pairs(t.submissions), t.fields, t.documents, t.features, t.metrics)
+    return V.change_items(_pairs(t), t.fields, t.documents, t.features, t.metrics)
 
 
 def all_change_sets(t: Tables) -> DataFrame:
-    return V.change_sets(V.version_pairs(t.submissions), all_items(t))
+    return V.change_sets(_pairs(t), all_items(t))
 
 
 @query(
@@ -88,7 +96,11 @@ def all_change_sets(t: Tables) -> DataFrame:
     LEFT JOIN lastrun r ON r.application_id = a.id""",
 )
 def case_list(t: Tables) -> DataFrame:
-    return R.case_list(t.applications, t.submissions, t.checks, all_change_sets(t), t.runs)
+    """Change sets are computed for the latest submissions only, as the list shows no others."""
+    newest = R.latest_submissions(t.submissions).select("submission_id", F.col("parent_submission_id").alias("parent_id"))
+    pairs = cut_lineage(newest.where(F.col("parent_id").isNotNull()))
+    changes = V.change_sets(pairs, V.change_items(pairs, t.fields, t.documents, t.features, t.metrics))
+    return R.case_list(t.applications, t.submissions, t.checks, changes, t.runs)
 
 
 @query(

@@ -146,5 +146,15 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """The ``rows`` rows of least hash of ``key``: the same ones on every run, kept as a top-k, never a sort of all."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(rows)
+    """The ``rows`` rows of least hash of ``key``: the same ones on every run.
+
+    Rows are counted first, and those whose hash is far beyond the sample are left out where they are, so that what
+    the tasks hand on is some twice the sample and does not grow with their number.
+    """
+    place = F.xxhash64(F.lit(seed), F.col(key))
+    total = df.count()
+    share = 2 * (rows + 100) / max(total, 1)
+    near = df.filter(place < F.lit(int(share * 2**64) - 2**63)) if share < 1 else df
+    if share < 1 and near.count() < rows:  # as good as never
+        near = df
+    return near.orderBy(place, F.col(key)).limit(rows)

@@ -175,3 +175,13 @@ def test_toxicity_edges(spark):
         made = judge(docs, train(docs, labels, categories), list(categories)).collect()
         assert sorted((r.doc_id for r in made), key=repr) == sorted((r[0] for r in edges.ROWS), key=repr)
     assert judge(docs.limit(0), train(docs.limit(0), marks, categories), list(categories)).count() == 0
+
+
+def test_bounded_sample_is_the_least_hashes(spark):
+    from casegrid.llm.common import bounded_sample
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    place = F.xxhash64(F.lit(3), F.col("doc_id"))
+    for n in (50, 19_000, 30_000):
+        want = [r.doc_id for r in rows.orderBy(place, "doc_id").limit(n).collect()]
+        assert [r.doc_id for r in bounded_sample(rows, "doc_id", n, 3).collect()] == want

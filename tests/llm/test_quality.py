@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from casegrid.llm.quality_forest import Forest, fit_forest, judged_documents, keep_good, usual_length
+from casegrid.llm.quality_forest import Forest, calibrated, fit_forest, judged_documents, keep_good, usual_length
 from casegrid.llm.site_bayes import fit_logistic, judge_sites
 from casegrid.llm.text_stats import counts, features
 from casegrid.llm.toxicity import best_threshold, feature_ids, fit_chain, judge, scorer, train
@@ -68,6 +68,33 @@ def test_quality_on_held_out_rows(spark):
     assert not any(j.kept for j in judged.values() if j.base_failed)
 
 
+def test_every_kind_of_anomaly_is_told_by_itself():
+    """Labels show symbols 200 times, each other kind twice; the rarer kinds are found, and those no label shows too."""
+    rng = np.random.default_rng(4)
+    top = np.array([0.0, 0.06, 0.07, 0.02, 0.035, 0.02])
+    made = lambda n: rng.random((n, 6)) ** 2 * top
+
+    def odd(column, n, low=0.3, high=0.5):
+        rows = made(n)
+        rows[:, column] = rng.uniform(low, high, n)
+        return rows
+
+    good, fresh = made(3000), made(3000)
+    for labelled_kinds in ((0,), range(6)):
+        bad = np.concatenate([odd(0, 200, 0.05, 0.35), *[odd(c, 2) for c in labelled_kinds]])
+        forest = fit_forest(good, bad)
+        threshold = calibrated(forest.scores(good), forest.scores(bad), 0.0, spare=0.0)
+        assert (forest.scores(bad) > threshold).all() and (forest.scores(fresh) > threshold).mean() < 0.005
+        for column in range(6):
+            assert (forest.scores(odd(column, 50)) > threshold).all(), column
+
+
+def test_labelled_doubled_words_are_rejected(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rare = judged_documents(docs, marks).join(marks.filter("quality = 0"), "doc_id").filter("not base_failed and n_symbols = 0").collect()
+    assert len(rare) == 5 and not any(r.kept for r in rare)
+
+
 def test_quality_edges(spark):
     docs = edges.documents(spark)
     marks = edges.labels(spark, [(1, 1, 0), (1, 0, 0), (None, 1, 1), (5, None, 0), (99, 0, 1)])

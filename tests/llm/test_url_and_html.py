@@ -95,3 +95,10 @@ def test_broken_and_odd_pages(spark):
     made = sorted((tuple(r) for r in extract(pages).select("page_id", "url", "text", "n_chars").collect()), key=repr)
     assert made == sorted([(1, "u", "", 0), (1, "u", "", 0), (2, None, "", 0), (None, "v", "T x", 3)], key=repr)
     assert extract(pages.limit(0)).count() == 0 and len(edges.ROWS)
+
+
+def test_attributes_are_read_by_their_whole_names():
+    for attrs in ('aria-hidden="false"', 'title="hidden gems of Rome"', 'data-role="search"', "data-id=nav", "title='a class=ad b'", 'data-x="1"\nalt="id=menu"'):
+        assert main_text(f"<body><article><p>{LONG}</p><section {attrs}><p>kept</p></section></article>").endswith("kept"), attrs
+    for attrs in ("hidden", 'HIDDEN=""', 'title="x" hidden', "role = 'search'", "data-x=1 class=ad", 'x="1"class="ad"'):
+        assert main_text(f"<body><article><p>{LONG}</p><section {attrs}><p>gone</p></section></article>") == LONG.strip(), attrs

@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and
-styles are marked by element, role and class name and count as no text. Every other node has a composite density:
+styles are marked by element, role and class name and count as no text. A class or id counts as a whole, not by a word
+in it; what holds the article, or most of a page without one, is not set apart by its name; names that may be the
+article's own, like search or related, set apart what is mostly links or less dense than the body. Every other node has a composite density:
 characters per tag, adjusted by the share of link characters and link tags. The node whose children's densities add
 up to most is the core; from there the path to the body is climbed as long as the density stays over the body's, and
 the subtree reached is the article. Its text is kept whole.
@@ -44,11 +46,23 @@ SIBLINGS = {
     "option": ({"option"}, {"select"}),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
+#: Names of parts that are not the article, names that may also be an article's own, and words that go with either.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs"
-    " sidebar footer comment comments disqus cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription"
-    " share sharing social related recommended widget login signup search pagination skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored nav navbar breadcrumb breadcrumbs sidebar footer"
+    " comment comments disqus gdpr popup modal newsletter pagination".split()
 )
+PERHAPS = frozenset(
+    "banner promo navigation menu cookie cookies consent notice overlay subscribe subscription share sharing social related"
+    " recommended widget login signup search skip".split()
+)
+WITH = frozenset(
+    "site page main top bottom left right inner outer bar block box wrap wrapper container area slot section list item items links link"
+    " buttons button icons form content body posts articles stories media primary secondary global thread to".split()
+)
+TALK = frozenset("comment comments disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROLS = frozenset("button input select textarea form".split())
+NO, MAYBE, SURELY, TALKED, ALWAYS = range(5)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -61,21 +75,33 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WORD = re.compile(r"[a-z0-9]+")
 
 
-def is_apart(name: str, attrs: str, in_article: bool) -> bool:
+def named(token: str, names: frozenset[str]) -> bool:
+    """Whether one class or id as a whole is made of these names and of words that go with them."""
+    words = set(WORD.findall(token))
+    return not words.isdisjoint(names) and words <= NAMES | PERHAPS | WITH | {"header"}
+
+
+def mark(name: str, attrs: str, in_article: bool) -> int:
+    """What element and attributes say about a part: ALWAYS apart, by its name SURELY, TALKED or MAYBE, or NO mark."""
     if name in APART or (name == "header" and not in_article):
-        return True
+        return ALWAYS
     if not attrs or attrs.isspace() or name in ("html", "body", "article", "main"):
-        return False
+        return NO
+    found = NO
     for key, a, b, c in ATTRIBUTE.findall(attrs):
         value = (a or b or c).lower()
         key = key.lower()
         if key == "hidden" or (key == "role" and value in ROLES):
-            return True
-        if key in ("class", "id"):
-            words = WORD.findall(value)
-            if not NAMES.isdisjoint(words) or (not in_article and "header" in words):
-                return True
-    return False
+            return ALWAYS
+        if key == "class" or (key == "id" and name not in HEADINGS):
+            for token in value.split():
+                if named(token, TALK):
+                    found = max(found, TALKED)
+                elif named(token, NAMES) or (not in_article and name not in HEADINGS and named(token, frozenset(["header"]))):
+                    found = max(found, SURELY)
+                elif named(token, PERHAPS):
+                    found = max(found, MAYBE)
+    return found
 
 
 class Tree:
@@ -84,6 +110,7 @@ class Tree:
     def __init__(self, page: str):
         self.parent = [-1]
         self.name = ["#page"]
+        self.mark = [NO]
         self.apart = [False]
         self.inside = [False]
         self.texts: list[tuple[int, str | None]] = []
@@ -108,6 +135,8 @@ class Tree:
                     close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                     at = close.end() if close else len(page)
                     self._end(name)
+        if any(m in (SURELY, MAYBE, TALKED) for m in self.mark):
+            self._judge_names()
 
     def _text(self, text: str) -> None:
         if text:
@@ -137,12 +166,38 @@ class Tree:
         inside = self.inside[up]
         self.parent.append(up)
         self.name.append(name)
-        self.apart.append(self.apart[up] or is_apart(name, attrs, inside))
+        self.mark.append(mark(name, attrs, inside))
+        self.apart.append(self.apart[up] or self.mark[-1] == ALWAYS)
         self.inside.append(inside or name in ("article", "main"))
         if name not in VOID and not attrs.endswith("/"):
             self.stack.append(node)
             self.open[name] = self.open.get(name, 0) + 1
 
+    def _judge_names(self) -> None:
+        """Sets parts with a name apart, unless they hold the article or most of the text, or read like text themselves.
+
+        Without article and main, a part that holds over half of the text is the page's own, but not a discussion.
+        """
+        dense, chars, links, body = densities(self)
+        n = len(self.parent)
+        mains, articles = ([int(x == kind and not a) for x, a in zip(self.name, self.apart, strict=True)] for kind in ("main", "article"))
+        controls = [int(x in CONTROLS) for x in self.name]
+        for held in (mains, articles, controls):
+            for i in range(n - 1, 0, -1):
+                held[self.parent[i]] += held[i]
+        for i in range(1, n):
+            m = self.mark[i]
+            if m in (SURELY, MAYBE, TALKED) and not self.apart[self.parent[i]]:
+                if mains[0]:
+                    holds = mains[i] > 0
+                elif articles[0]:
+                    holds = articles[i] == articles[0]
+                else:
+                    holds = m != TALKED and 2 * chars[i] > chars[0]
+                reads = m == MAYBE and 2 * links[i] < chars[i] and (dense[i] >= dense[body] or self.inside[self.parent[i]]) and not (controls[i] and dense[i] < dense[body])
+                self.apart[i] = not (holds or reads)
+            self.apart[i] = self.apart[i] or self.apart[self.parent[i]]
+
     def _end(self, name: str) -> None:
         if self.open.get(name):
             while self.name[self.stack[-1]] != name:
@@ -150,8 +205,8 @@ class Tree:
             self._pop()
 
 
-def article_node(tree: Tree) -> int:
-    """The root of the article's subtree."""
+def densities(tree: Tree) -> tuple[list[float], list[int], list[int], int]:
+    """Composite density, characters and link characters of each node, and the body; parts that are apart count as no text."""
     n = len(tree.parent)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in tree.texts:
@@ -175,7 +230,13 @@ def article_node(tree: Tree) -> int:
         base = math.log(c / ((c - lc) or 1) * lc + (body_links / body_chars if body_chars else 0) * c + math.e)
         return c / t * math.log(max(c / (lc or 1) * t / (lt or 1), 1.0)) / base
 
-    dense = [density(i) for i in range(n)]
+    return [density(i) for i in range(n)], chars, link_chars, body
+
+
+def article_node(tree: Tree) -> int:
+    """The root of the article's subtree."""
+    n = len(tree.parent)
+    dense, _, _, body = densities(tree)
     total = [0.0] * n
     for node in range(1, n):
         if not tree.apart[node]:

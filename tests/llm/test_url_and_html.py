@@ -102,3 +102,15 @@ def test_attributes_are_read_by_their_whole_names():
         assert main_text(f"<body><article><p>{LONG}</p><section {attrs}><p>kept</p></section></article>").endswith("kept"), attrs
     for attrs in ("hidden", 'HIDDEN=""', 'title="x" hidden', "role = 'search'", "data-x=1 class=ad", 'x="1"class="ad"'):
         assert main_text(f"<body><article><p>{LONG}</p><section {attrs}><p>gone</p></section></article>") == LONG.strip(), attrs
+
+
+def test_names_do_not_take_the_article_along():
+    whole = " ".join((LONG * 4).split())
+    for name in ("content no-sidebar", "has-sidebar", "with-comments", "cookie-consent-shown", "sidebar", "page-header", "navigation"):
+        for page in (f"<article><p>{LONG * 2}</p><p>{LONG * 2}</p></article>", f"<div><p>{LONG * 2}</p><p>{LONG * 2}</p></div>"):
+            assert main_text(f"<body><div class='{name}'>{page}</div></body>") == whole, name
+    for block in ("<h2 id='search'>{}</h2>", "<section id='related-work'><p>{}</p></section>", "<p class='social-history'>{}</p>", "<section id='search'><p>{}</p></section>"):
+        assert main_text(f"<body><article><p>{LONG}</p>{block.format('Kept text')}</article></body>") == f"{LONG}Kept text", block
+    links = "<ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul>"
+    for block in ("<div class='related-posts'>{}</div>", "<div id=sidebar>{}</div>", "<div class='x ad-slot'>Buy</div>", "<div class='share'>{}</div>", "<div id='comments'><article><p>" + LONG * 9 + "</article></div>"):
+        assert main_text(f"<body><main><p>{LONG}</p>{block.format(links)}</main></body>") == LONG.strip(), block

@@ -6,7 +6,8 @@ in it; what holds the article, or most of a page without one, is not set apart b
 article's own, like search or related, set apart what is mostly links or less dense than the body. Every other node has a composite density:
 characters per tag, adjusted by the share of link characters and link tags. The node whose children's densities add
 up to most is the core; from there the path to the body is climbed as long as the density stays over the body's, and
-the subtree reached is the article. Its text is kept whole.
+the subtree reached is the article, together with other articles beside the path, or, on pages without article and
+main, the headings and parts with text beside it. Their text is kept whole.
 
 Blocks are joined in page order by one space, white space inside becomes one space, character references are decoded.
 
@@ -61,6 +62,7 @@ WITH = frozenset(
 )
 TALK = frozenset("comment comments disqus".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | {"p"}
 CONTROLS = frozenset("button input select textarea form".split())
 NO, MAYBE, SURELY, TALKED, ALWAYS = range(5)
 
@@ -233,10 +235,15 @@ def densities(tree: Tree) -> tuple[list[float], list[int], list[int], int]:
     return [density(i) for i in range(n)], chars, link_chars, body
 
 
-def article_node(tree: Tree) -> int:
-    """The root of the article's subtree."""
+def article_nodes(tree: Tree) -> tuple[list[int], set[int]]:
+    """The roots of the article's subtrees, and the nodes of which only the text straight inside belongs to it.
+
+    The core and its climb give the first. On the way from it to the body, or to the main element around it, other
+    articles come along; without article and main around it, so do parts that are not mostly links and are as dense as
+    the body, or hold paragraphs, or are headings, or stand in a line of text.
+    """
     n = len(tree.parent)
-    dense, _, _, body = densities(tree)
+    dense, chars, links, body = densities(tree)
     total = [0.0] * n
     for node in range(1, n):
         if not tree.apart[node]:
@@ -245,18 +252,36 @@ def article_node(tree: Tree) -> int:
     best = max(inner, key=lambda i: (total[i], -i), default=body)
     while best != body and tree.parent[best] not in (body, 0, -1) and dense[tree.parent[best]] >= dense[body]:
         best = tree.parent[best]
-    return best
+    way = {best}
+    while best != body and tree.name[best] != "main" and tree.parent[best] >= 0:
+        best = tree.parent[best]
+        way.add(best)
+    free = not any(tree.name[i] in ("article", "main") and not tree.apart[i] for i in range(n))
+    articles = [int(x == "article" and not a) for x, a in zip(tree.name, tree.apart, strict=True)]
+    prose = [int(x in PROSE and c > 0 and not a) for x, c, a in zip(tree.name, chars, tree.apart, strict=True)]
+    for held in (articles, prose):
+        for i in range(n - 1, 0, -1):
+            held[tree.parent[i]] += held[i]
+    core = max(way)
+    roots = [core]
+    for i in range(min(way) + 1, n):
+        if tree.parent[i] in way and tree.parent[i] != core and i not in way and not tree.apart[i] and chars[i]:
+            if (articles[i] > 0) if not free else 2 * links[i] < chars[i] and (dense[i] >= dense[body] or prose[i] > 0 or tree.name[i] not in BLOCK):
+                roots.append(i)
+    return roots, way if free else set()
 
 
 def main_text(page: str) -> str:
     """The whole text of the page's article, empty if there is none."""
     tree = Tree(page)
-    root = article_node(tree)
     below = [False] * len(tree.parent)
-    below[root] = True
-    for node in range(root + 1, len(tree.parent)):
-        below[node] = below[tree.parent[node]]
-    parts = [" " if text is None else text for node, text in tree.texts if below[node] and not tree.apart[node]]
+    roots, loose = article_nodes(tree)
+    for root in roots:
+        below[root] = True
+    for node in range(1, len(tree.parent)):
+        below[node] = below[node] or below[tree.parent[node]]
+    # the breaks around a block are its parent's
+    parts = [" " if text is None else text for node, text in tree.texts if text is None or (below[node] or node in loose) and not tree.apart[node]]
     return " ".join("".join(parts).split())
 
 

@@ -114,3 +114,19 @@ def test_names_do_not_take_the_article_along():
     links = "<ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul>"
     for block in ("<div class='related-posts'>{}</div>", "<div id=sidebar>{}</div>", "<div class='x ad-slot'>Buy</div>", "<div class='share'>{}</div>", "<div id='comments'><article><p>" + LONG * 9 + "</article></div>"):
         assert main_text(f"<body><main><p>{LONG}</p>{block.format(links)}</main></body>") == LONG.strip(), block
+
+
+def test_several_parts_under_the_body():
+    part = lambda x, n: f"<p>{x} {LONG}</p>" * n
+    want = lambda *xs: " ".join(f"{x} {LONG.strip()}" for x, n in xs for _ in range(n))
+    links = "<ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul>"
+    for name in ("section", "div"):
+        page = f"<body><h1>Title</h1><{name}>{part('a', 10)}</{name}>{links}<{name}>{part('b', 10)}</{name}<{name}><p>Short.</p></{name}></body>"
+        assert main_text(page.replace(f"</{name}<{name}>", f"</{name}><{name}>")) == f"Title {want(('a', 10), ('b', 10))} Short."
+    inner = f"<article>{part('a', 10)}</article><div><p>We use cookies</p></div><article><p>b</p></article>"
+    assert main_text(f"<body>{inner}</body>") == f"{want(('a', 10))} b"
+    assert main_text(f"<body><div><div>{inner}</div></div></body>").endswith(" b")
+    for page in ("<body>{}</body>", "{}"):
+        assert main_text(page.format(f"Loose <b>te</b>xt<section>{part('a', 10)}</section>{links}<section>{part('b', 5)}</section>")) == f"Loose text {want(('a', 10), ('b', 5))}"
+    assert main_text(f"<body><div><h1>T</h1>{part('a', 3)}</div><div><div>{part('b', 9)}</div>{links * 9}</div></body>") == f"T {want(('a', 3), ('b', 9))}"
+    assert main_text(f"<body><main><h1>T</h1>{part('a', 3)}</main><div>{LONG}</div></body>") == f"T {want(('a', 3))}"

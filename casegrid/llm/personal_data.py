@@ -3,10 +3,12 @@
 The base kinds (email, ip, card, phone) are found in every whole text by one regular expression each, leftmost and
 non-overlapping; matches that fail their check are dropped. They seed the contexts: the word before, the two words
 before, the word after, and the words on both sides of a match are lexical patterns. Other tokens with digits are
-open instances. Patterns and instances form a graph, scored in ``rounds`` rounds: a pattern's confidence for a kind
-is the mean score of the distinct instances it meets, and an open instance's score is the mean confidence of its
-accepted patterns over all its patterns. Patterns of at least ``support`` seeds and ``confidence`` are accepted; the
-open instances they meet become spans of that kind. Base spans always stay.
+open instances. Patterns and instances form a graph, scored in rounds until a round accepts no pattern and finds no
+instance more: a pattern's confidence for a kind is the mean score of the distinct instances it meets, and an open
+instance's score is the mean confidence of its backed patterns, those not accepted counting 0. Instances that reach
+``confidence`` are found and from then on count as seeds do. Patterns are backed by ``support`` seeds or found
+instances and accepted at ``confidence``; both stay, so rounds come to an end. The open instances that accepted
+patterns meet become spans of that kind. Base spans always stay.
 
 Only Spark functions are used. Texts are scanned once, in place; what goes through shuffles are matches with their
 contexts, and the graph holds each pattern and instance once, so a frequent context or identifier costs one row.
@@ -168,27 +170,42 @@ def contexts(before: Column, after: Column) -> Column:
     return F.array_compact(made)
 
 
-def discovered(scanned: DataFrame, rounds: int = 2, support: int = 5, confidence: float = 0.8) -> DataFrame:
-    """doc_id, text_key, kind, start, end of the spans that accepted patterns add."""
+def discovered(scanned: DataFrame, rounds: int | None = None, support: int = 5, confidence: float = 0.8) -> DataFrame:
+    """doc_id, text_key, kind, start, end of the spans that accepted patterns add; ``rounds`` may end the search early."""
     met = cut_lineage(
         _occurrences(scanned).select("doc_id", "text_key", "kind", "start", "end", F.xxhash64("match").alias("instance"), F.explode(contexts(F.col("before"), F.col("after"))).alias("pattern"))
     )
     edges = cut_lineage(met.groupBy("pattern", "instance").agg(F.min(F.when(F.col("kind") != OPEN, F.col("kind"))).alias("seed")))
-    degree = edges.groupBy("instance").agg(F.count("*").alias("degree"))
     size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    seeds = edges.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    # only patterns that some seed supports can be accepted: the rest of the graph is not carried on
-    backed = edges.filter("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    backed = cut_lineage(backed.join(size, "pattern"))
-    live = cut_lineage(edges.join(backed.select("pattern").distinct(), "pattern", "left_semi"))
-    scores = seeds
-    accepted = None
-    for _ in range(rounds):
+    seed_links = edges.filter("seed is not null").select("pattern", "instance", F.col("seed").alias("kind"))
+    seeds = seed_links.select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
+    links, scores, accepted, found = seed_links, seeds, None, None
+    counted, done = (0, 0), 0
+    while rounds is None or done < rounds:
+        # patterns that neither seeds nor found instances back cannot be accepted in this round: only the others are scored
+        backed = links.groupBy("pattern", "kind").agg(F.count("*").alias("backers")).filter(F.col("backers") >= support)
+        backed = cut_lineage(backed.select("pattern", "kind").join(size, "pattern"))
+        live = cut_lineage(edges.join(backed.select("pattern").distinct(), "pattern", "left_semi"))
         mass = live.select("pattern", "instance").join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-        rated = backed.join(mass, ["pattern", "kind"]).withColumn("confidence", F.col("mass") / F.col("size"))
-        accepted = cut_lineage(rated.filter(F.col("confidence") >= confidence).select("pattern", "kind", "confidence"))
-        reached = live.filter("seed is null").join(accepted, "pattern").groupBy("instance", "kind").agg(F.sum("confidence").alias("sum"))
-        scores = seeds.unionByName(reached.join(degree, "instance").select("instance", "kind", (F.col("sum") / F.col("degree")).alias("score")))
+        rated = backed.join(mass, ["pattern", "kind"]).select("pattern", "kind", (F.col("mass") / F.col("size")).alias("confidence"))
+        more = rated.filter(F.col("confidence") >= confidence)
+        accepted = cut_lineage(more if accepted is None else accepted.unionByName(more.join(accepted, ["pattern", "kind"], "left_anti")))
+        done += 1
+        n_accepted = accepted.count()
+        if not n_accepted or done == rounds:
+            break
+        rates = backed.select("pattern", "kind").join(accepted, ["pattern", "kind"], "left")
+        reached = live.filter("seed is null").select("pattern", "instance").join(rates, "pattern").groupBy("instance", "kind")
+        reached = cut_lineage(reached.agg((F.sum(F.coalesce("confidence", F.lit(0.0))) / F.count("*")).alias("score")).filter("score > 0"))
+        high = reached.filter(F.col("score") >= confidence).select("instance", "kind").join(seeds, ["instance", "kind"], "left_anti")
+        found = cut_lineage(high if found is None else found.unionByName(high).distinct())
+        now = (n_accepted, found.count())
+        if now == counted:
+            break
+        counted = now
+        links = cut_lineage(seed_links.unionByName(edges.join(found, "instance").select("pattern", "instance", "kind")).distinct())
+        sure = seeds.unionByName(found.withColumn("score", F.lit(1.0)))
+        scores = cut_lineage(sure.unionByName(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")))
     hits = met.filter(F.col("kind") == OPEN).drop("kind").join(accepted, "pattern")
     order = F.struct("confidence", (-_rank(F.col("kind"))).alias("place"), "kind")
     best = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max(order).alias("best"))

@@ -126,3 +126,20 @@ def test_mask_equals_brute_force(spark):
 def test_luhn_helper_of_the_tests(digits):
     doubled = [int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(digits))]
     assert luhn(digits) == (sum(d // 10 + d % 10 for d in doubled) % 10 == 0)
+
+
+def test_found_identifiers_seed_contexts_of_their_own(spark):
+    """Three hops: seeds back the first context, what it finds backs the second, what that finds backs the third."""
+    rng = random.Random(6)
+    number = lambda: "0" + "-".join("".join(rng.choice("0123456789") for _ in range(n)) for n in (2, 4, 4))
+    texts = [f"Please reach wanda at +1 (212) 555-{i:04} before noon." for i in range(150)]
+    first, second, plain, last = [number() for _ in range(30)], [number() for _ in range(6)], [number() for _ in range(20)], number()
+    texts += [f"Please reach wanda at {n} before noon." for n in first]
+    texts += [f"Extension quartz line {n} belongs here." for n in [*first, *second]]
+    texts += [f"Our velvet desk {n} answers always." for n in [*second, last]]
+    texts += [f"Some part {n} was sold." for n in [*plain, *first[:5]]]
+    rows = list(enumerate(texts))
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in find(edges.plain(spark, rows)).collect()}
+    for i, text in rows[150:]:
+        numbers = re.findall(r"0[0-9]{2}-[0-9]{4}-[0-9]{4}", text)
+        assert len(numbers) == 1 and found[i] == ([] if text.startswith("Some part") else [("phone", numbers[0])]), text

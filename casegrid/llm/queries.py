@@ -120,3 +120,10 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     categories = {"low_quality": F.lit(1) - F.col("quality"), "toxic": F.col("toxic")}
     judged = judge(docs, train(docs, labels, categories), list(categories))
     return judged.withColumnRenamed("marked", "toxic")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).drop("deviation_digits")

@@ -127,3 +127,10 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casegrid.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings")).drop("deviation_digits")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm.prefix_trie import crossed, prefix_trie, turn_lists
+
+    return prefix_trie(crossed(turn_lists(table(spark, sf_dir, "conversations"))))

@@ -134,3 +134,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casegrid.llm.prefix_trie import crossed, prefix_trie, turn_lists
 
     return prefix_trie(crossed(turn_lists(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op12_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casegrid.llm.genetic_packing import pack, piece_digests
+
+    return piece_digests(pack(table(spark, sf_dir, "documents")))

@@ -9,6 +9,7 @@ from casegrid.operators import community as C
 from casegrid.operators import conflicts as X
 from casegrid.operators import evaluate as M
 from casegrid.operators import graph as G
+from casegrid.operators import matching as O
 from casegrid.plans.bridge import Tables
 from casegrid.plans.registry import query
 
@@ -363,21 +364,108 @@ def macro_metrics(t: Tables) -> DataFrame:
     return M.macro_average(M.with_scores(counts))
 
 
-@query("M1 M2 M3")
+#: Predictions p(k, n) of each group in order, their fitting truth numbers fitting(k, n, ms), one after the other.
+_IN_ORDER = """
+ size AS (SELECT k, count(*) AS n FROM p GROUP BY 1),
+ step(k, n, taken) AS (SELECT k, 0::BIGINT, []::BIGINT[] FROM size UNION ALL
+   SELECT s.k, s.n + 1, list_concat(s.taken, list_filter(f.ms, lambda x: NOT list_contains(s.taken, x))[1:1]) FROM step s JOIN size z ON z.k = s.k AND s.n < z.n LEFT JOIN fitting f ON f.k = s.k AND f.n = s.n + 1),
+ found AS (SELECT s.k, len(s.taken)::BIGINT AS tp, z.n AS p FROM step s JOIN size z ON z.k = s.k AND z.n = s.n),
+ truths AS (SELECT k, count(*) AS t FROM tr GROUP BY 1),
+ cnt AS (SELECT coalesce(h.k, u.k) AS k, coalesce(tp, 0) AS tp, coalesce(p, 0) - coalesce(tp, 0) AS fp, coalesce(t, 0) - coalesce(tp, 0) AS fn FROM found h FULL JOIN truths u ON u.k = h.k)"""
+_ROUNDED = "round(pr, 6)::DOUBLE AS precision, round(rc, 6)::DOUBLE AS recall, round(CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END, 6)::DOUBLE AS f1"
+_TOTALS = "sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn"
+
+
+@query(
+    "M1",
+    f"""WITH RECURSIVE v AS (SELECT app_id AS k, node_id, source, lower(trim(field_name)) AS label, TRY_CAST(regexp_replace(field_value, '[^\\d.\\-]', '', 'g') AS DOUBLE) AS a FROM case_claims),
+    p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY node_id) AS n FROM v WHERE source = 'form'), tr AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY node_id) AS m FROM v WHERE source = 'geometry'),
+    fitting AS (SELECT p.k, n, list(m ORDER BY m) AS ms FROM p JOIN tr ON tr.k = p.k AND (tr.label = p.label OR abs(tr.a - p.a) / greatest(tr.a, 1e-9) <= 0.10) GROUP BY 1, 2),
+    {_IN_ORDER}, s AS (SELECT *, {_SCORES} FROM (SELECT {_TOTALS} FROM cnt)) SELECT tp, fp, fn, {_ROUNDED} FROM s""",
+)
 def sequential_match(t: Tables) -> DataFrame:
     """Form claims matched with geometry claims of the same submission: same name, or values within 10 %."""
     area = X.parse_number(F.col("field_value"))
-    truth = t.claims.where("source = 'geometry'").select(
-        "app_id", F.col("node_id").alias("truth_id"), F.col("field_name").alias("label"), F.lit(None).cast("string").alias("match_key"), area.alias("area")
-    )
-    predicted = t.claims.where("source = 'form'").select(
-        "app_id", F.col("node_id").alias("pred_id"), F.col("field_name").alias("label"), F.lit(None).cast("string").alias("entity_key"), area.alias("area")
-    )
-    matches = M.greedy_match(M.entity_candidates(truth, predicted, ["app_id"]), ["app_id"])
-    counts = M.match_counts(truth, predicted, matches, ["app_id"])
+    none = F.lit(None).cast("string")
+    truth = t.claims.where("source = 'geometry'").select("app_id", F.col("node_id").alias("truth_id"), F.col("field_name").alias("label"), none.alias("match_key"), area.alias("area"))
+    predicted = t.claims.where("source = 'form'").select("app_id", F.col("node_id").alias("pred_id"), F.col("field_name").alias("label"), none.alias("entity_key"), area.alias("area"))
+    matches = O.match_in_order(*O.entity_sides(truth, predicted, ["app_id"]), ["app_id"])
+    counts = O.match_counts(truth, predicted, matches, ["app_id"])
     return M.with_scores(counts.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
 
 
+@query(
+    "M1",
+    f"""WITH RECURSIVE {_GRAPH}, v AS (SELECT app_id || '|' || node_type AS k, node_type, entity_id, ord, lower(trim(label)) AS label FROM gnodes),
+    p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS n FROM v),
+    tr AS (SELECT k, node_type, row_number() OVER (PARTITION BY k ORDER BY ord) AS m, regexp_replace(label, ' [0-9]+$', '') AS part, label FROM v WHERE ord % 3 > 0),
+    fitting AS (SELECT p.k, n, list(m ORDER BY m) AS ms FROM p JOIN tr ON tr.k = p.k AND (p.label = tr.label OR contains(p.label, tr.part)) GROUP BY 1, 2),
+    {_IN_ORDER}, r AS (SELECT split_part(k, '|', 2) AS entity_type, {_TOTALS} FROM cnt GROUP BY 1 UNION ALL SELECT 'overall', {_TOTALS} FROM cnt), s AS (SELECT *, {_SCORES} FROM r)
+    SELECT entity_type, tp, fp, fn, {_ROUNDED} FROM s""",
+)
+def keyed_entity_metrics(t: Tables) -> DataFrame:
+    """Graph entities against two thirds of them, which fit by label or by their name without its number."""
+    keys = ["app_id", "node_type"]
+    label = F.lower(F.trim("label"))
+    items = _nodes(t)
+    part = F.regexp_replace(label, " [0-9]+$", "")
+    area = F.lit(None).cast("double").alias("area")
+    truth = items.where("ord % 3 > 0").select(*keys, F.col("ord").alias("truth_id"), "label", part.alias("match_key"), area)
+    predicted = items.select(*keys, F.col("ord").alias("pred_id"), "label", label.alias("entity_key"), area)
+    matches = O.match_in_order(*O.entity_sides(truth, predicted, keys), keys)
+    counts = O.match_counts(truth, predicted, matches, keys)
+    return M.per_type_and_overall(counts.withColumnRenamed("node_type", "entity_type"), "entity_type")
+
+
+@query(
+    "M2 J22",
+    f"""WITH RECURSIVE {_GRAPH}, e AS (SELECT e.app_id || '|' || edge_type AS k, edge_type, src || '>' || dst AS id, lower(a.label) AS sl, lower(b.label) AS dl, weight FROM gedges e
+      JOIN gnodes a ON a.app_id = e.app_id AND a.node_id = e.src JOIN gnodes b ON b.app_id = e.app_id AND b.node_id = e.dst),
+    p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM e),
+    tr AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY id) AS m, regexp_extract(CASE edge_type WHEN 'ADJACENT_TO' THEN dl ELSE sl END, '^\\S+ \\S+') AS a, regexp_extract(CASE edge_type WHEN 'ADJACENT_TO' THEN sl ELSE dl END, '^\\S+') AS b FROM e WHERE weight >= 10),
+    fitting AS (SELECT p.k, n, list(m ORDER BY m) AS ms FROM p JOIN tr ON tr.k = p.k AND ((contains(sl, a) AND contains(dl, b)) OR (edge_type = 'ADJACENT_TO' AND contains(dl, a) AND contains(sl, b))) GROUP BY 1, 2),
+    {_IN_ORDER}, r AS (SELECT split_part(k, '|', 2) AS type, {_TOTALS} FROM cnt GROUP BY 1 UNION ALL SELECT 'overall', {_TOTALS} FROM cnt), s AS (SELECT *, {_SCORES} FROM r)
+    SELECT type, tp, fp, fn, {_ROUNDED} FROM s""",
+)
+def relationship_metrics(t: Tables) -> DataFrame:
+    """Edges of the graph against the heavier ones, which are known by parts of their end labels; adjacency is turned round."""
+    nodes = _nodes(t)
+    ends = [nodes.select("app_id", F.col("node_id").alias(end), F.col("label").alias(f"{end}_label")) for end in ("src", "dst")]
+    edges = _edges(t, nodes).join(ends[0], ["app_id", "src"]).join(ends[1], ["app_id", "dst"]).withColumn("id", F.concat("src", F.lit(">"), "dst"))
+    edges = edges.withColumnRenamed("edge_type", "type")
+    turned = F.col("type") == "ADJACENT_TO"
+    one, two = F.when(turned, F.col("dst_label")).otherwise(F.col("src_label")), F.when(turned, F.col("src_label")).otherwise(F.col("dst_label"))
+    truth = edges.where("weight >= 10").select(
+        "app_id", "type", F.col("id").alias("truth_id"), F.regexp_extract(one, r"^\S+ \S+", 0).alias("src"), F.regexp_extract(two, r"^\S+", 0).alias("dst")
+    )
+    predicted = edges.select("app_id", "type", F.col("id").alias("pred_id"), "src_label", "dst_label")
+    matches = O.match_in_order(*O.relationship_sides(truth, predicted, ["app_id"]), ["app_id", "type"])
+    return M.per_type_and_overall(O.match_counts(truth, predicted, matches, ["app_id", "type"]), "type")
+
+
+_KIND = "CASE WHEN regexp_matches(lower(field_name), 'area|sqm') THEN 'area' WHEN regexp_matches(lower(field_name), 'height|ridge|eaves') THEN 'height' WHEN regexp_matches(lower(field_name), 'distance|boundary|setback') THEN 'distance' ELSE 'value' END"
+
+
+@query(
+    "M3",
+    f"""WITH RECURSIVE {_BRUTE}, p AS (SELECT app_id || '|' || kind AS k, kind, lower(field_name) AS fn, row_number() OVER (PARTITION BY app_id, kind ORDER BY ia || '|' || ib || '|' || field_name) AS n FROM worst),
+    tv AS (SELECT app_id || '|' || {_KIND} AS k, lower(field_name) AS fn, node_id FROM case_claims WHERE source = 'geometry' OR field_name = 'application_ref'),
+    tr AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY node_id) AS m FROM tv),
+    fitting AS (SELECT p.k, n, list(m ORDER BY m) AS ms FROM p JOIN tr ON tr.k = p.k AND (contains(p.fn, tr.fn) OR contains(tr.fn, p.fn) OR (regexp_matches(p.fn, 'area|sqm') AND regexp_matches(tr.fn, 'area|sqm'))
+      OR (regexp_matches(p.fn, 'height|ridge|eaves') AND regexp_matches(tr.fn, 'height|ridge|eaves')) OR (regexp_matches(p.fn, 'distance|setback|boundary') AND regexp_matches(tr.fn, 'distance|setback|boundary'))) GROUP BY 1, 2),
+    {_IN_ORDER}, r AS (SELECT split_part(k, '|', 2) AS conflict_type, {_TOTALS} FROM cnt GROUP BY 1 UNION ALL SELECT 'overall', {_TOTALS} FROM cnt), s AS (SELECT *, {_SCORES} FROM r)
+    SELECT conflict_type, tp, fp, fn, {_ROUNDED} FROM s""",
+)
+def conflict_metrics(t: Tables) -> DataFrame:
+    """Detected conflicts against those expected wherever geometry states a value, and on every reference."""
+    keys = ["app_id", "conflict_type"]
+    found = X.detect_conflicts(t.claims).select(*keys, F.concat("claim_a_id", F.lit("|"), "claim_b_id", F.lit("|"), "field_name").alias("pred_id"), "field_name")
+    expected = t.claims.where("source = 'geometry' OR field_name = 'application_ref'")
+    truth = expected.select("app_id", X.conflict_type(F.col("field_name")).alias("conflict_type"), F.col("node_id").alias("truth_id"), "field_name")
+    matches = O.match_in_order(*O.conflict_sides(truth, found, ["app_id"]), keys)
+    return M.per_type_and_overall(O.match_counts(truth, found, matches, keys), "conflict_type")
+
+
 @query(
     "G39 U9",
     """WITH l AS (SELECT d.lang, l.quality AS a, CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS b FROM labels l JOIN documents d USING (doc_id)),

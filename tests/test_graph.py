@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from casegrid.operators import community as C
 from casegrid.operators import evaluate as M
+from casegrid.operators import matching as O
 from casegrid.operators import graph as G
 
 
@@ -56,30 +59,106 @@ def test_profile_and_coherence(spark):
     assert got["2"].spatial_coherence == 1.0 and not got["2"].is_dwelling_unit
 
 
-def test_greedy_match_equals_sequential_pass(spark):
-    rng = random.Random(5)
-    truth = [("s", t, rng.choice("abc"), None, float(rng.randint(5, 12))) for t in range(25)]
-    pred = [("s", p, rng.choice("abcd"), None, float(rng.randint(5, 12))) for p in range(25)]
-    td = spark.createDataFrame(truth, "k string, truth_id int, label string, match_key string, area double")
-    pd_ = spark.createDataFrame(pred, "k string, pred_id int, label string, entity_key string, area double")
-    got = {(r.pred_id, r.truth_id) for r in M.greedy_match(M.entity_candidates(td, pd_, ["k"]), ["k"]).collect()}
-    taken, expected = set(), set()
-    for _, p, label, _, area in pred:
-        for _, t, other, _, size in truth:
-            if t not in taken and (label == other or abs(size - area) / size <= 0.10):
+def in_sequence(truth, predicted, fits):
+    """Pairs of the plain pass: each prediction takes the first free truth item it fits."""
+    taken, pairs = set(), set()
+    for p in sorted(predicted):
+        for t in sorted(truth):
+            if t not in taken and fits(truth[t], predicted[p]):
                 taken.add(t)
-                expected.add((p, t))
+                pairs.add((p, t))
                 break
-    assert got == expected
+    return pairs
+
+
+def pairs_of(matches):
+    rows = [(r.pred_id, r.truth_id) for r in matches.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+TRUTH, PRED = "k string, truth_id int, label string, match_key string, area double", "k string, pred_id int, label string, entity_key string, area double"
+
+
+@pytest.mark.parametrize("seed, size, labels", [(5, 25, "abc"), (6, 60, "abcdefghijk"), (7, 40, " ")])
+def test_entities_match_as_in_the_sequential_pass(spark, seed, size, labels):
+    rng = random.Random(seed)
+
+    def item(key):
+        return (rng.choice([rng.choice(labels), rng.choice(labels).upper() + " ", None, ""]), rng.choice([None, "", key()]), rng.choice([None, float(rng.randint(5, 40))]))
+
+    truth = {t: item(lambda: rng.choice(["north", "Wall", "rth wa", "x"])) for t in range(size)}
+    pred = {p: item(lambda: rng.choice(["North wall", "the x wall", "south"])) for p in range(size)}
+
+    def fits(t, p):
+        (a, key, area), (b, text, other) = t, p
+        a, b = (a or "").lower().strip(), (b or "").lower().strip()
+        same = bool(a) and a == b
+        inside = bool(key) and bool(text) and key.lower() in text.lower()
+        return same or inside or (area is not None and other is not None and abs(area - other) / max(area, 1e-9) <= 0.10)
+
+    td = spark.createDataFrame([("s", t, *v) for t, v in truth.items()], TRUTH)
+    pd_ = spark.createDataFrame([("s", p, *v) for p, v in pred.items()], PRED)
+    assert pairs_of(O.match_in_order(*O.entity_sides(td, pd_, ["k"]), ["k"])) == in_sequence(truth, pred, fits)
+
+
+def test_a_thousand_equal_labels_pair_off_by_rank_without_rounds(spark, monkeypatch):
+    def no_round(*_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(O, "_settled", no_round)
+    truth = spark.range(1000).selectExpr("'s' AS k", "cast(id AS int) AS truth_id", "'Room' AS label", "cast(null AS string) AS match_key", "cast(null AS double) AS area")
+    pred = spark.range(1200).selectExpr("'s' AS k", "cast(id AS int) AS pred_id", "'room ' AS label", "cast(null AS string) AS entity_key", "cast(null AS double) AS area")
+    assert pairs_of(O.match_in_order(*O.entity_sides(truth, pred, ["k"]), ["k"])) == {(i, i) for i in range(1000)}
+
+
+def test_a_thousand_equal_labels_with_a_few_links_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(O, "_settled", lambda *a, plain=O._settled: rounds.append(1) or plain(*a))
+    truth = {i: ("room", None, None) for i in range(1000)} | {5000: ("hall", "hall", None)}
+    pred = {i: ("room", None, None) for i in range(1000)} | {200: ("hall", "great hall", None), 700: ("kitchen", "hall door", None)}
+    td = spark.createDataFrame([("s", t, *v) for t, v in truth.items()], TRUTH)
+    pd_ = spark.createDataFrame([("s", p, *v) for p, v in pred.items()], PRED)
+    want = in_sequence(truth, pred, lambda t, p: t[0] == p[0] or bool(t[1]) and bool(p[1]) and t[1] in p[1])
+    assert pairs_of(O.match_in_order(*O.entity_sides(td, pd_, ["k"]), ["k"])) == want
+    assert len(rounds) <= 2
+
+
+def test_relationships_match_by_parts_of_both_ends(spark):
+    rng = random.Random(4)
+    names = ["kitchen", "hall", "Main Kitchen", "great hall east", "wall", "", "ha"]
+    kinds = ["ADJACENT_TO", "CONTAINS"]
+    truth = {t: (rng.choice(kinds), rng.choice(names), rng.choice(names)) for t in range(30)}
+    pred = {p: (rng.choice(kinds), rng.choice(names), rng.choice(names)) for p in range(30)}
+
+    def fits(t, p):
+        (kind, a, b), (other, x, y) = t, p
+        a, b, x, y = a.lower(), b.lower(), x.lower(), y.lower()
+        return kind == other and ((a in x and b in y) or (kind == "ADJACENT_TO" and a in y and b in x))
+
+    td = spark.createDataFrame([("s", k, t, a, b) for t, (k, a, b) in truth.items()], "k string, type string, truth_id int, src string, dst string")
+    pd_ = spark.createDataFrame([("s", k, p, a, b) for p, (k, a, b) in pred.items()], "k string, type string, pred_id int, src_label string, dst_label string")
+    assert pairs_of(O.match_in_order(*O.relationship_sides(td, pd_, ["k"]), ["k", "type"])) == in_sequence(truth, pred, fits)
+
+
+def test_conflicts_match_by_name_or_domain(spark):
+    rng = random.Random(9)
+    names = ["floor_area", "living_room_area", "ridge_height", "eaves", "height", "setback_distance", "boundary", "note", "a_note", "total_sqm_height", None]
+    truth = {t: (rng.choice(["x", "y"]), rng.choice(names)) for t in range(40)}
+    pred = {p: (rng.choice(["x", "y"]), rng.choice(names)) for p in range(40)}
+    domains = [("area", "sqm", "floor_area"), ("height", "ridge", "eaves"), ("distance", "setback", "boundary")]
 
+    def fits(t, p):
+        a, b = t[1] or "", p[1] or ""
+        return t[0] == p[0] and (a in b or b in a or any(any(w in a for w in d) and any(w in b for w in d) for d in domains))
 
-def test_relationships_and_conflict_candidates(spark):
-    truth = spark.createDataFrame([("s", "ADJACENT_TO", 1, "kitchen", "hall")], "k string, type string, truth_id int, src string, dst string")
-    pred = spark.createDataFrame([("s", "ADJACENT_TO", 9, "Hall", "Main Kitchen"), ("s", "CONTAINS", 8, "Main Kitchen", "Hall")], "k string, type string, pred_id int, src_label string, dst_label string")
-    assert [(r.pred_id, r.truth_id) for r in M.relationship_candidates(truth, pred, ["k"]).collect()] == [(9, 1)]
-    t = spark.createDataFrame([("s", "area", 1, "floor_area")], "k string, conflict_type string, truth_id int, field_name string")
-    p = spark.createDataFrame([("s", "area", 5, "living_room_area"), ("s", "height", 6, "floor_area")], "k string, conflict_type string, pred_id int, field_name string")
-    assert [(r.pred_id, r.truth_id) for r in M.conflict_candidates(t, p, ["k"]).collect()] == [(5, 1)]
+    td = spark.createDataFrame([("s", k, t, n) for t, (k, n) in truth.items()], "k string, conflict_type string, truth_id int, field_name string")
+    pd_ = spark.createDataFrame([("s", k, p, n) for p, (k, n) in pred.items()], "k string, conflict_type string, pred_id int, field_name string")
+    sides = O.conflict_sides(td, pd_, ["k"])
+    matches = O.match_in_order(*sides, ["k", "conflict_type"])
+    assert pairs_of(matches) == in_sequence(truth, pred, fits)
+    counts = {r.conflict_type: (r.tp, r.fp, r.fn) for r in O.match_counts(td, pd_, matches, ["conflict_type"]).collect()}
+    assert all(tp + fn == sum(k == kind for k, _ in truth.values()) and tp + fp == sum(k == kind for k, _ in pred.values()) for kind, (tp, fp, fn) in counts.items())
 
 
 def test_kappa(spark):

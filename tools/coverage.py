@@ -36,7 +36,7 @@ ELSEWHERE = {
     "K6": "`sources/sinks.write_json`, `tests/test_sources.py`",
     "K7": "`sources/sinks.write_catalogue`, tested",
     "K8": "`sources/sinks.write_ground_truth`, `tests/test_sources.py`",
-    "J22": "`operators/evaluate.relationship_candidates`, tested",
+    "J22": "`operators/matching.relationship_sides`, `relationship_metrics`",
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Entries a worker keeps in its word table before it starts anew.
 WORD_TABLE_SIZE = 200_000
+#: Longer words are hashed anew each time, so that the table is bounded in bytes too.
+WORD_BYTES = 64
 #: Bytes of a batch that a worker holds at a time, whatever the length of the texts.
 BATCH_BYTES = "4m"
 
@@ -55,9 +58,12 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list
             yield out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for made in rows(lists(batches)):
-            arrays = [pa.array(made[f.name], type=f.type) for f in arrow]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        try:
+            for made in rows(lists(batches)):
+                arrays = [pa.array(made[f.name], type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            hand_back()
 
     return small_batches(df).mapInArrow(run, fields)
 
@@ -78,20 +84,23 @@ def extend_rows(
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = start()
-        for batch in batches:
-            given = {}
-            for name in inputs:
-                column = batch.column(batch.schema.names.index(name))
-                if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-                    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
-                given[name] = column.to_pylist()
-            made = work(given)
-            arrays = [
-                pa.array(made[f.name], type=f.type) if f.name in made else batch.column(batch.schema.names.index(f.name)).cast(f.type)
-                for f in arrow
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        try:
+            work = start()
+            for batch in batches:
+                given = {}
+                for name in inputs:
+                    column = batch.column(batch.schema.names.index(name))
+                    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                        column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+                    given[name] = column.to_pylist()
+                made = work(given)
+                arrays = [
+                    pa.array(made[f.name], type=f.type) if f.name in made else batch.column(batch.schema.names.index(f.name)).cast(f.type)
+                    for f in arrow
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            hand_back()
 
     return small_batches(df).mapInArrow(run, fields)
 
@@ -113,13 +122,24 @@ class WordTable(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_TABLE_SIZE:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD_BYTES:
+            self[word] = value
         return value
 
 
 WORDS = WordTable()
 
 
+def hand_back() -> None:
+    """Give back what a finished partition held: workers live on, idle ones beside the busy ones, with all they once took."""
+    WORDS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORDS.__getitem__, words), dtype=U64, count=len(words))
 

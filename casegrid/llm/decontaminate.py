@@ -5,8 +5,10 @@ characters. Every window of ``window`` consecutive item words (an item of fewer
 Aho-Corasick automaton, which reads each whole document once. Normalising keeps byte positions, so hit words are
 mapped back to code point spans of the original text.
 
-The test set travels with the tasks. Its size is measured first: it is cut into blocks of at most ``block_bytes``,
-one automaton and one pass each, so a task never holds more than one block.
+The test set travels with the tasks. Its size is measured first: up to ``block_bytes`` it is one automaton and the text
+is read once. A larger one is cut into blocks of that size, and the documents are written to the shared folder with the
+hits of a block before the next block is read, so neither the driver nor a task ever holds more than one block; the
+passes then grow with the test set.
 
 Null or empty text (of document or item): no words, nothing hit. Items with null id are left out; items that share
 an id count once. Repeated document rows are judged each by itself. An empty table gives no rows; an empty test set
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrid.llm.common import extend_rows, neutral, require
+from casegrid.session import cut_lineage
 
 FOUND = "n_words long, n_hit long, items array<long>, spans array<struct<start: long, end: long>>"
 
@@ -113,6 +116,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         before = [] if block == 0 else ["n_hit", "items", "spans"]
         drop = ("text",) if block == blocks - 1 and not keep_text else ()
         out = extend_rows(out, ["text", *before], FOUND, _scanner(held, window), drop)
+        if block < blocks - 1:
+            out = cut_lineage(out)
     return out
 
 

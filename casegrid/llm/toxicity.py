@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import bounded_sample, extend_rows, require
+from casegrid.llm.common import WORD_BYTES, WORD_TABLE_SIZE, bounded_sample, extend_rows, require
 
 #: Lower-cased ASCII letters, digits and other bytes stay; the rest of ASCII parts words.
 _SPLIT = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -178,9 +178,11 @@ def scorer(chain: Chain):
     def hits(word: bytes) -> tuple[int, ...]:
         found = known.get(word)
         if found is None:
-            if len(known) >= 200_000:
-                known.clear()
-            found = known[word] = tuple(i for i in word_features(word) if i in places)
+            found = tuple(i for i in word_features(word) if i in places)
+            if len(word) <= WORD_BYTES:
+                if len(known) >= WORD_TABLE_SIZE:
+                    known.clear()
+                known[word] = found
         return found
 
     def score(text: bytes | None) -> list[float]:
@@ -197,18 +199,20 @@ def scorer(chain: Chain):
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 8000, n_features: int = 512, max_false_share: float = 0.002, seed: int = 10) -> Chain:
-    """Fit the chain on at most ``sample_rows`` labelled rows. ``categories``: name to 0/1 column of the label table."""
+    """Fit the chain on at most ``sample_rows`` labelled rows, one per doc_id. ``categories``: name to 0/1 column of the label table."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(n) for n, c in categories.items()]).dropna()
     marks = marks.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in categories])
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
     chosen = bounded_sample(marks.join(ids, "doc_id", "left_semi"), "doc_id", sample_rows, seed)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # of rows that share an id the least text stands for all, so the sample is bounded in rows, not only in ids
+    picked = texts.join(chosen, "doc_id").groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
 
     def start():
         return lambda batch: {"ids": [feature_ids(t).tobytes() for t in batch["text"]]}
 
     rows = extend_rows(picked, ["text"], "ids binary", start, ("text",)).collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
+    rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         return Chain([Linear(np.empty(0, np.uint32), np.empty(0), np.zeros(c), -30.0) for c in range(len(categories))], 2.0)
     y = np.array([[r[n] for n in categories] for r in rows])

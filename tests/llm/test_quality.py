@@ -184,6 +184,30 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.allclose(score(rest[0].text.encode()), 1 / (1 + np.exp(-np.array(odds))))
 
 
+def test_toxicity_sample_is_bounded_whatever_the_repeats(spark, monkeypatch):
+    rows = [(1, f"text number {i}") for i in range(500)] + [(i, f"other text {i}") for i in range(2, 12)]
+    marks = edges.labels(spark, [(i, 1, i % 2) for i in range(1, 12)])
+    categories = {"low_quality": F.lit(1) - F.col("quality"), "toxic": F.col("toxic")}
+    kept = []
+    monkeypatch.setattr("casegrid.llm.toxicity.fit_chain", lambda texts, keys, *rest: kept.extend(keys))
+    train(edges.plain(spark, rows), marks, categories, sample_rows=20)
+    assert sorted(kept) == list(range(1, 12))
+    again = list(kept)
+    kept.clear()
+    train(edges.plain(spark, rows[::-1]).repartition(3), marks, categories, sample_rows=5)
+    assert len(kept) == 5 and set(kept) <= set(again)
+
+
+def test_word_tables_do_not_keep_long_words():
+    from casegrid.llm.common import WORDS, hand_back, word_hashes
+
+    long = [b"x" * 1000 + str(i).encode() for i in range(50)]
+    first = word_hashes([b"short", *long])
+    assert b"short" in WORDS and not any(w in WORDS for w in long)
+    hand_back()
+    assert not WORDS and (word_hashes([b"short", *long]) == first).all()
+
+
 def test_threshold_is_the_best_f1():
     p, y = np.array([0.9, 0.8, 0.8, 0.4, 0.3, 0.1]), np.array([True, True, False, True, False, False])
     def f1(t, allowed):

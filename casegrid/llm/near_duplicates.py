@@ -37,7 +37,9 @@ from casegrid.session import cut_lineage
 SIGNATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
 SKETCH = 128
 #: Shingles that a task signs at a time, and representatives of a block whose sketches are compared.
-CHUNK_SHINGLES = 500_000
+CHUNK_SHINGLES = 100_000
+#: Sets that a task signs at a time.
+CHUNK_SETS = 4000
 BLOCK = 1000
 BLOCK_BYTES = 8_000_000
 
@@ -117,7 +119,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 ids.append(doc)
                 sets.append(shingles(text, width))
                 held += len(sets[-1])
-                if held >= CHUNK_SHINGLES or len(sets) >= 20_000:
+                if held >= CHUNK_SHINGLES or len(sets) >= CHUNK_SETS:
                     yield signed(ids, sets)
                     ids, sets, held = [], [], 0
         if sets:

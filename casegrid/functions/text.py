@@ -204,7 +204,3 @@ def friendly_message(message: Column) -> Column:
 def split_list(col: Column) -> Column:
     """Split on commas, semicolons and bars; blanks dropped."""
     return F.filter(F.transform(F.split(col, r"[,;|]+"), lambda x: F.trim(x)), lambda x: x != "")
-
-
-def canonical(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit(""))

@@ -465,11 +465,16 @@ def changed_documents(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFr
 def usage_totals(calls: DataFrame, prices: DataFrame, default_model: str) -> DataFrame:
     """Each call priced by the first listed model name contained in its own model name.
 
-    Distinct model names are priced once and joined back, so a call never meets the price list itself.
+    Distinct model names are priced once and joined back, so a call never meets the price list itself. A name is cut
+    into its character runs of the lengths that keys have, so that containment is an equality.
     """
     names = calls.select("model").distinct()
     listed = prices.select("ord", "key", "input_price", "output_price")
-    hit = names.join(listed, F.lower("model").contains(F.col("key")))
+    sizes = listed.agg(F.collect_set(F.length("key"))).scalar()
+    low = F.lower("model")
+    runs = F.transform(F.sequence(F.lit(1), F.length(low) - F.col("size") + 1), lambda i: F.substring(low, i, F.col("size")))
+    sized = names.select("model", F.explode(sizes).alias("size")).where(F.length(low) >= F.col("size"))
+    hit = sized.select("model", F.explode(F.array_distinct(runs)).alias("key")).join(listed, "key")
     best = hit.groupBy("model").agg(F.min(F.struct("ord", "input_price", "output_price")).alias("p"))
     fallback = listed.where(F.col("key") == default_model).select(
         F.col("input_price").alias("d_in"), F.col("output_price").alias("d_out")

@@ -49,7 +49,7 @@ CHANGE_ITEMS_SQL = """
  sdelta AS (SELECT coalesce(n.submission_id, o.submission_id), 'spatial_metric_delta', coalesce(n.k, o.k), CAST(NULL AS VARCHAR), CAST(o.v AS VARCHAR), CAST(n.v AS VARCHAR),
    CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' ELSE 'modified' END
    FROM snew n FULL JOIN sold o ON n.submission_id = o.submission_id AND n.k = o.k WHERE n.v IS DISTINCT FROM o.v),
- items AS (SELECT * FROM fdelta UNION ALL SELECT * FROM dmoved UNION ALL SELECT * FROM dreplaced UNION ALL SELECT * FROM sdelta),
+ items AS MATERIALIZED (SELECT * FROM fdelta UNION ALL SELECT * FROM dmoved UNION ALL SELECT * FROM dreplaced UNION ALL SELECT * FROM sdelta),
  scored AS (SELECT submission_id, max(CASE change_type WHEN 'field_delta' THEN
      CASE WHEN field_key IN ('site_address','proposed_use','building_height','floor_area','num_storeys','application_type') THEN 0.9
           WHEN field_key IN ('postcode','applicant_name','agent_name','description') THEN 0.5 ELSE 0.2 END

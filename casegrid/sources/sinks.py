@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,12 +71,26 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def write_catalogue(rules: DataFrame, path: str, version: str = "1.0", source: str = "requirements") -> None:
-    """Rules with their count in one JSON object per file; the rule list is bounded by the catalogue."""
+    """Rules with their count as one JSON object in one file, sorted by their columns.
+
+    One object is one file and so one writer: its rows are sorted on disk where they do not fit and written line by line.
+    """
     columns = [c for c in rules.columns if c != "ord"]
-    packed = rules.agg(
-        F.count(F.lit(1)).alias("rule_count"), F.sort_array(F.collect_list(F.struct(*columns))).alias("rules")
-    ).select(F.lit(version).alias("version"), F.lit(source).alias("source"), "rule_count", "rules")
-    packed.write.mode("overwrite").json(path)
+    head = json.dumps({"version": version, "source": source, "rule_count": rules.count()})[:-1] + ', "rules": ['
+    lines = rules.repartition(1).sortWithinPartitions(*columns).select(F.to_json(F.struct(*columns)).alias("value"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": [head]})
+        comma = ""
+        for batch in batches:
+            out = []
+            for line in batch.column(0).to_pylist():
+                out.append(comma + line)
+                comma = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
+    lines.mapInArrow(joined, "value string").write.mode("overwrite").text(path)
 
 
 def write_ground_truth(annotations: DataFrame, path: str) -> None:

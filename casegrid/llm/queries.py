@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegrid.llm import oracles
 from casegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +142,8 @@ def op12_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casegrid.llm.genetic_packing import pack, piece_digests
 
     return piece_digests(pack(table(spark, sf_dir, "documents")))
+
+
+ORACLE_SQL["op4_near_duplicates"] = oracles.NEAR_DUPLICATES
+ORACLE_SQL["op9_decontamination"] = oracles.DECONTAMINATION
+ORACLE_SQL["op11_prefix_trie"] = oracles.PREFIX_TRIE

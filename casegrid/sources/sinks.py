@@ -71,9 +71,9 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def write_catalogue(rules: DataFrame, path: str, version: str = "1.0", source: str = "requirements") -> None:
-    """Rules with their count as one JSON object in one file, sorted by their columns.
+    """Rules with their count as one JSON object in one file, on one line, sorted by their columns.
 
-    One object is one file and so one writer: its rows are sorted on disk where they do not fit and written line by line.
+    One object is one file and so one writer: its rows are sorted on disk where they do not fit and written one by one.
     """
     columns = [c for c in rules.columns if c != "ord"]
     head = json.dumps({"version": version, "source": source, "rule_count": rules.count()})[:-1] + ', "rules": ['
@@ -90,7 +90,8 @@ def write_catalogue(rules: DataFrame, path: str, version: str = "1.0", source: s
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
         yield pa.RecordBatch.from_pydict({"value": ["]}"]})
 
-    lines.mapInArrow(joined, "value string").write.mode("overwrite").text(path)
+    # a blank between the parts: readers of JSON lines see the object as one line
+    lines.mapInArrow(joined, "value string").write.mode("overwrite").option("lineSep", " ").text(path)
 
 
 def write_ground_truth(annotations: DataFrame, path: str) -> None:

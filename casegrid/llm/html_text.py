@@ -2,8 +2,10 @@
 
 The page becomes a tree. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and
 styles are marked by element, role and class name and count as no text. A class or id counts as a whole, not by a word
-in it; what holds the article, or most of a page without one, is not set apart by its name; names that may be the
-article's own, like search or related, set apart what is mostly links or less dense than the body. Every other node has a composite density:
+in it, but for classes of two or three words that begin or end with a name, like taboola-ad or reader-comments; classes
+of states, like no-sidebar, and names inside code do not count. What holds the article, or most of a page without one,
+is not set apart by its name; names that may be the article's own, like search or related, set apart what is mostly
+links or less dense than the body. Every other node has a composite density:
 characters per tag, adjusted by the share of link characters and link tags. The node whose children's densities add
 up to most is the core; from there the path to the body is climbed as long as the density stays over the body's, and
 the subtree reached is the article, together with other articles beside the path, or, on pages without article and
@@ -28,7 +30,16 @@ from pyspark.sql import functions as F
 from casegrid.llm.common import extend_rows, require
 
 # Elements and names of parts that are not the article.
-APART = frozenset("nav footer aside form script style noscript template svg math iframe object canvas button select textarea dialog head title".split())
+APART = frozenset("nav footer aside form script style noscript template iframe object canvas button select textarea dialog head title".split())
+#: Drawings and formulas: their text counts, but not what describes them or is kept for reuse.
+FOREIGN = frozenset("svg math".split())
+UNSEEN = frozenset("defs desc metadata symbol annotation annotation-xml".split())
+#: Parts of drawings and formulas that hold page elements again, and page elements that end a drawing elsewhere.
+HOSTS = frozenset("foreignobject desc annotation-xml mtext".split())
+BREAKS_OUT = frozenset(
+    "b blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre ruby s small span strong"
+    " sub sup table u ul var article aside footer header main nav section".split()
+)
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -49,22 +60,24 @@ SIBLINGS = {
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 #: Names of parts that are not the article, names that may also be an article's own, and words that go with either.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored nav navbar breadcrumb breadcrumbs sidebar footer"
-    " comment comments disqus gdpr popup modal newsletter pagination".split()
+    "ad ads adv advert adverts advertisement advertising adsbygoogle adsense promo promos sponsor sponsored nav navbar breadcrumb breadcrumbs"
+    " sidebar footer comment comments replies disqus gdpr popup modal newsletter pagination".split()
 )
 PERHAPS = frozenset(
-    "banner promo navigation menu cookie cookies consent notice overlay subscribe subscription share sharing social related"
+    "banner navigation menu cookie cookies consent notice overlay subscribe subscription share sharing social related"
     " recommended widget login signup search skip".split()
 )
 WITH = frozenset(
     "site page main top bottom left right inner outer bar block box wrap wrapper container area slot section list item items links link"
-    " buttons button icons form content body posts articles stories media primary secondary global thread to".split()
+    " buttons button icons form content body posts articles stories media primary secondary global thread to unit units google user users reader readers".split()
 )
-TALK = frozenset("comment comments disqus".split())
+TALK = frozenset("comment comments replies disqus".split())
+#: Words of classes that tell a state or a subject of what they stand on, and name no part.
+STATES = frozenset("no non not has have with without is hide hidden tag tags category enabled disabled shown open closed".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | {"p"}
 CONTROLS = frozenset("button input select textarea form".split())
-NO, MAYBE, SURELY, TALKED, ALWAYS = range(5)
+NO, MAYBE, LIKELY, SURELY, TALKED, ALWAYS = range(6)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -75,34 +88,40 @@ TOKEN = re.compile(
 #: One attribute with its whole value, so that the next match starts behind it.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z0-9]+")
-
-
-def named(token: str, names: frozenset[str]) -> bool:
-    """Whether one class or id as a whole is made of these names and of words that go with them."""
-    words = set(WORD.findall(token))
-    return not words.isdisjoint(names) and words <= NAMES | PERHAPS | WITH | {"header"}
-
-
-def mark(name: str, attrs: str, in_article: bool) -> int:
-    """What element and attributes say about a part: ALWAYS apart, by its name SURELY, TALKED or MAYBE, or NO mark."""
-    if name in APART or (name == "header" and not in_article):
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
+def name_mark(token: str, is_class: bool, headers: bool) -> int:
+    """What one class or id says. ``headers``: whether a header is apart here."""
+    words = WORD.findall(token)
+    found = set(words)
+    if found <= NAMES | PERHAPS | WITH | {"header"}:
+        if found & TALK:
+            return TALKED
+        if found & NAMES or (headers and "header" in found) or len(found & PERHAPS) > 1:
+            return SURELY
+        return MAYBE if found & PERHAPS else NO
+    if is_class and 2 <= len(words) <= 3 and not found & STATES:
+        ends = {words[0], words[-1]}
+        return SURELY if ends & TALK else LIKELY if ends & NAMES else NO
+    return NO
+
+
+def mark(name: str, attrs: str, in_article: bool, in_code: bool = False) -> int:
+    """What element and attributes say about a part: ALWAYS apart, by its name TALKED, SURELY, LIKELY or MAYBE, or NO mark."""
+    if name in APART or name in UNSEEN or (name == "header" and not in_article):
         return ALWAYS
     if not attrs or attrs.isspace() or name in ("html", "body", "article", "main"):
         return NO
     found = NO
     for key, a, b, c in ATTRIBUTE.findall(attrs):
-        value = (a or b or c).lower()
+        value = a or b or c
         key = key.lower()
-        if key == "hidden" or (key == "role" and value in ROLES):
+        if key == "hidden" or (key == "role" and value.lower() in ROLES):
             return ALWAYS
-        if key == "class" or (key == "id" and name not in HEADINGS):
-            for token in value.split():
-                if named(token, TALK):
-                    found = max(found, TALKED)
-                elif named(token, NAMES) or (not in_article and name not in HEADINGS and named(token, frozenset(["header"]))):
-                    found = max(found, SURELY)
-                elif named(token, PERHAPS):
-                    found = max(found, MAYBE)
+        if not in_code and (key == "class" or (key == "id" and name not in HEADINGS)):
+            for token in HUMP.sub("-", value).lower().split():
+                found = max(found, name_mark(token, key == "class", not in_article and name not in HEADINGS))
     return found
 
 
@@ -131,13 +150,12 @@ class Tree:
             if found["end"] or found["end2"]:
                 self._end(name)
             else:
-                attrs = found["attrs"] or ""
-                self._start(name, attrs)
-                if name in RAW and not attrs.endswith("/"):
+                drawn = self._start(name, found["attrs"] or "")
+                if name in RAW and not drawn:
                     close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                     at = close.end() if close else len(page)
                     self._end(name)
-        if any(m in (SURELY, MAYBE, TALKED) for m in self.mark):
+        if any(NO < m < ALWAYS for m in self.mark):
             self._judge_names()
 
     def _text(self, text: str) -> None:
@@ -150,7 +168,24 @@ class Tree:
         if self.name[node] in BLOCK:
             self.texts.append((self.stack[-1], None))
 
-    def _start(self, name: str, attrs: str) -> None:
+    def _drawing(self) -> int:
+        """Place on the stack of the drawing or formula around, 0 if none."""
+        if any(self.open.get(kind) for kind in FOREIGN):
+            for at in range(len(self.stack) - 1, 0, -1):
+                kind = self.name[self.stack[at]]
+                if kind in HOSTS:
+                    return 0
+                if kind in FOREIGN:
+                    return at
+        return 0
+
+    def _start(self, name: str, attrs: str) -> bool:
+        """Adds an element; whether it is part of a drawing or formula. Only there, and without content, a slash ends it."""
+        drawing = self._drawing()
+        if drawing and name in BREAKS_OUT:
+            while len(self.stack) > drawing:
+                self._pop()
+            drawing = 0
         if name in CLOSES_P and self.open.get("p"):
             self._end("p")
         if name in SIBLINGS:
@@ -168,12 +203,13 @@ class Tree:
         inside = self.inside[up]
         self.parent.append(up)
         self.name.append(name)
-        self.mark.append(mark(name, attrs, inside))
+        self.mark.append(mark(name, attrs, inside, bool(self.open.get("pre") or self.open.get("code"))))
         self.apart.append(self.apart[up] or self.mark[-1] == ALWAYS)
         self.inside.append(inside or name in ("article", "main"))
-        if name not in VOID and not attrs.endswith("/"):
+        if name not in VOID and not ((drawing or name in FOREIGN) and attrs.endswith("/")):
             self.stack.append(node)
             self.open[name] = self.open.get(name, 0) + 1
+        return drawing > 0
 
     def _judge_names(self) -> None:
         """Sets parts with a name apart, unless they hold the article or most of the text, or read like text themselves.
@@ -189,14 +225,15 @@ class Tree:
                 held[self.parent[i]] += held[i]
         for i in range(1, n):
             m = self.mark[i]
-            if m in (SURELY, MAYBE, TALKED) and not self.apart[self.parent[i]]:
+            if NO < m < ALWAYS and not self.apart[self.parent[i]]:
                 if mains[0]:
                     holds = mains[i] > 0
                 elif articles[0]:
                     holds = articles[i] == articles[0]
                 else:
                     holds = m != TALKED and 2 * chars[i] > chars[0]
-                reads = m == MAYBE and 2 * links[i] < chars[i] and (dense[i] >= dense[body] or self.inside[self.parent[i]]) and not (controls[i] and dense[i] < dense[body])
+                thick = dense[i] >= dense[body]
+                reads = m in (MAYBE, LIKELY) and 2 * links[i] < chars[i] and (thick or (m == MAYBE and self.inside[self.parent[i]] and not controls[i]))
                 self.apart[i] = not (holds or reads)
             self.apart[i] = self.apart[i] or self.apart[self.parent[i]]
 

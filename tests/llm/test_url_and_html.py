@@ -130,3 +130,46 @@ def test_several_parts_under_the_body():
         assert main_text(page.format(f"Loose <b>te</b>xt<section>{part('a', 10)}</section>{links}<section>{part('b', 5)}</section>")) == f"Loose text {want(('a', 10), ('b', 5))}"
     assert main_text(f"<body><div><h1>T</h1>{part('a', 3)}</div><div><div>{part('b', 9)}</div>{links * 9}</div></body>") == f"T {want(('a', 3), ('b', 9))}"
     assert main_text(f"<body><main><h1>T</h1>{part('a', 3)}</main><div>{LONG}</div></body>") == f"T {want(('a', 3))}"
+
+
+def test_a_slash_ends_no_page_element():
+    body = "<p>Main words come here and go on.</p>"
+    for apart in (
+        "<script src=/js/app/>var leak=1;</script>",
+        "<script src='/js/app'/>var leak=1;</script>",
+        "<style/>p{leak:1}</style>",
+        "<div class='ad'/>Buy now leak</div>",
+    ):
+        assert main_text(f"<body><article>{apart}{body}</article></body>") == "Main words come here and go on.", apart
+    # a link with a slash at its end holds its text, so that a list of them is mostly links
+    links = "".join(f"<a href=/docs/{i}/>leaking entry {i}</a> " for i in range(8))
+    page = f"<body><article><div class='related'>{links}</div>{body}</article></body>"
+    assert main_text(page) == "Main words come here and go on."
+
+
+def test_drawings_and_formulas_keep_their_text():
+    formula = "<math><semantics><mrow><mi>x</mi><mspace/><mo>=</mo><mn>2</mn></mrow><annotation>x=2 tex</annotation></semantics></math>"
+    assert main_text(f"<article><p>So {formula} holds.</p></article>") == "So x=2 holds."
+    chart = "<svg viewBox='0 0 1 1'><title>icon</title><defs><text>unused</text></defs><path d='M0'/><text x='1'>Peak <tspan>1990</tspan></text></svg>"
+    assert main_text(f"<article><p>See {chart} here.</p></article>") == "See Peak 1990 here."
+    assert main_text("<article><p>One <svg/>two <svg><path/>three</p><p>Four</p></article>") == "One two three Four"
+    assert main_text("<article><svg><foreignObject><div>Inner</div><p>words</p></foreignObject><style>x{}</style></svg></article>") == "Inner words"
+
+
+def test_names_of_adverts_and_comments_inside_the_article():
+    long = "<p>A paragraph of the article with quite a few words in it, so that it reads like one.</p>"
+    kept = " ".join(["A paragraph of the article with quite a few words in it, so that it reads like one."] * 3)
+    for name in (
+        "ad-unit", "adsbygoogle", "google-ads", "promo-box", "social-share", "user-comments", "replies", "taboola-ad", "adUnit", "fb-comments",
+        "userComments", "dfp-ad", "cookie-consent",
+    ):
+        page = f"<body><article>{long * 2}<div class='{name}'>Buy <b>now</b></div>{long}</article></body>"
+        assert main_text(page) == kept, name
+    for name in ("ad-hoc", "header-image", "widgets", "with-comments", "no-ads", "tag-ads", "has-sidebar", "comments-closed", "trade-history"):
+        page = f"<body><article>{long}<div class='{name}'>{long}</div>{long}</article></body>"
+        assert main_text(page) == kept, name
+
+
+def test_comments_in_code_are_text():
+    page = "<article><p>Try this.</p><pre><code><span class='token comment'># first</span> run()</code></pre></article>"
+    assert main_text(page) == "Try this. # first run()"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casegrid.functions.codes import contains_any
 from casegrid.operators.ordered import top_per_key
+from casegrid.session import cut_lineage
 
 # Reference formats tried in this order.
 REFERENCE_PATTERNS = [r"APP[-/]?\d{4}[-/]?\d+", r"PP[-]?\d+", r"\d{8}[/-][A-Z]+", r"[A-Z]+[-/]?\d{4}[-/]?\d+"]
@@ -25,6 +26,8 @@ MODIFICATION_WORDS = [
 ]
 
 CANDIDATE_LIMIT = 10
+#: Candidates of one character run that are read under one key.
+SPLIT_ROWS = 10_000
 
 
 def parent_reference(*texts: Column) -> Column:
@@ -43,18 +46,33 @@ def _grams(text: Column, size: Column) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size))))
 
 
-def containing_pairs(targets: DataFrame, candidates: DataFrame, gram: int = 8, least: float = 0.0) -> DataFrame:
-    """(target, candidate) for distinct texts where the candidate contains the target, of at least that similarity."""
+def containing_pairs(targets: DataFrame, candidates: DataFrame, gram: int = 8, least: float = 0.0, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(target, candidate, …) for distinct texts where the candidate contains the target, of at least that similarity.
+
+    ``candidates`` has one row per ``candidate``; its other columns are handed on. The candidates of a frequent run
+    are dealt into parts of some ``split_rows`` rows by their hash, and its targets visit each part: a run that all
+    candidates share is many keys, whatever its frequency.
+    """
     sized = targets.select("target").distinct().where(F.col("target") != "").withColumn("size", F.least(F.length("target"), F.lit(gram)))
     sizes = sized.agg(F.collect_set("size")).scalar()
-    index = candidates.select("candidate").distinct().select("candidate", F.explode(F.coalesce(sizes, F.array().cast("array<int>"))).alias("size"))
-    index = index.select("candidate", F.explode(_grams(F.col("candidate"), F.col("size"))).alias("gram"))
+    index = candidates.withColumn("size", F.explode(F.coalesce(sizes, F.array().cast("array<int>"))))
+    index = index.withColumn("gram", F.explode(_grams(F.col("candidate"), F.col("size")))).drop("size")
     frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
     probes = sized.select("target", F.explode(_grams(F.col("target"), F.col("size"))).alias("gram")).join(frequency, "gram", "left")
     rarest = probes.groupBy("target").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("p"))
-    chosen = rarest.where(F.col("p.uses") > 0).select("target", F.col("p.gram").alias("gram"))
+    parts = F.ceil(F.col("p.uses") / split_rows)
+    chosen = rarest.where(F.col("p.uses") > 0).select("target", F.col("p.gram").alias("gram"), parts.alias("parts"))
+    chosen = cut_lineage(chosen)
+    dealt = index.join(chosen.select("gram", "parts").distinct(), "gram")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("candidate"), F.col("parts"))).drop("parts")
+    visits = chosen.select("target", "gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     alike = similarity(F.col("target"), F.col("candidate")) >= least
-    return chosen.join(index, "gram").where(alike & F.col("candidate").contains(F.col("target"))).select("target", "candidate")
+    return visits.join(dealt, ["gram", "part"]).where(alike & F.col("candidate").contains(F.col("target"))).drop("gram", "part")
+
+
+def _newest_per_address(shortlist: DataFrame) -> DataFrame:
+    """Each distinct address once, with its newest application."""
+    return shortlist.where("rank = 1").select("candidate", F.col("created_at").alias("newest_at"), F.col("application_id").alias("newest_id"))
 
 
 def _addresses(targets: DataFrame, applications: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,13 +89,17 @@ def _addresses(targets: DataFrame, applications: DataFrame) -> tuple[DataFrame,
 def closest_addresses(targets: DataFrame, applications: DataFrame, least: float = 0.9) -> DataFrame:
     """The most similar other application whose address contains the target's, over all of them; ties go to the newest.
 
-    Every distinct address keeps its two newest applications, as one of them may be the target itself.
+    Every distinct address keeps its two newest applications, as one of them may be the target itself; a target keeps
+    the two best addresses of each part it visits, by their newest application, before anything is shuffled.
     """
     cleaned, addressed = _addresses(targets, applications)
     newest = [F.col("created_at").desc(), F.col("application_id").desc()]
-    shortlist = top_per_key(addressed, ["candidate"], newest, 2).drop("rank")
-    pairs = containing_pairs(cleaned, shortlist, least=least).withColumn("similarity", similarity(F.col("target"), F.col("candidate")))
-    per_target = top_per_key(pairs.join(shortlist, "candidate"), ["target"], [F.col("similarity").desc(), *newest], 2).drop("rank")
+    shortlist = top_per_key(addressed, ["candidate"], newest, 2)
+    pairs = containing_pairs(cleaned, _newest_per_address(shortlist), least=least)
+    pairs = pairs.withColumn("similarity", similarity(F.col("target"), F.col("candidate")))
+    best_addresses = [F.col("similarity").desc(), F.col("newest_at").desc(), F.col("newest_id").desc()]
+    pairs = top_per_key(pairs, ["target"], best_addresses, 2).drop("rank", "newest_at", "newest_id")
+    per_target = top_per_key(pairs.join(shortlist.drop("rank"), "candidate"), ["target"], [F.col("similarity").desc(), *newest], 2).drop("rank")
     others = cleaned.join(per_target, "target").where(F.col("self") != F.col("application_id"))
     best = top_per_key(others, ["target_id"], [F.col("similarity").desc(), *newest], 1)
     return best.select("target_id", "application_id", "similarity")
@@ -87,13 +109,16 @@ def address_matches(targets: DataFrame, applications: DataFrame, limit: int = CA
     """Up to ``limit`` newest applications whose address contains the target address, per target.
 
     ``targets``: target_id, address. An application never matches itself. The limit is part of the report;
-    it is applied per distinct address first, so equal addresses are matched once.
+    it is applied per distinct address first, so equal addresses are matched once, then to the addresses a target
+    meets in each part (by their newest application), and last to the applications of those addresses.
     """
     cleaned, addressed = _addresses(targets, applications)
     newest = [F.col("created_at").desc(), F.col("application_id").desc()]
-    shortlist = top_per_key(addressed, ["candidate"], newest, limit + 1).drop("rank")
-    pairs = containing_pairs(cleaned, shortlist)
-    per_target = top_per_key(pairs.join(shortlist, "candidate"), ["target"], newest, limit + 1).drop("rank")
+    shortlist = top_per_key(addressed, ["candidate"], newest, limit + 1)
+    pairs = containing_pairs(cleaned, _newest_per_address(shortlist))
+    pairs = top_per_key(pairs, ["target"], [F.col("newest_at").desc(), F.col("newest_id").desc()], limit + 1)
+    pairs = pairs.select("target", "candidate")
+    per_target = top_per_key(pairs.join(shortlist.drop("rank"), "candidate"), ["target"], newest, limit + 1).drop("rank")
     others = cleaned.join(per_target, "target").where(F.col("self") != F.col("application_id"))
     return top_per_key(others, ["target_id"], newest, limit).select(
         "target_id", "application_id", "rank", similarity(F.col("target"), F.col("candidate")).alias("similarity")

@@ -1,5 +1,6 @@
 """Numbering in hot keys, versions, rules, lineage, streams and sources."""
 
+import datetime as dt
 import json
 import random
 
@@ -89,6 +90,33 @@ def test_containing_pairs(spark):
     assert got == {(a, b) for a in set(texts) for b in set(texts) if a in b}
 
 
+def test_an_address_that_very_many_contain_is_read_in_parts(spark):
+    rng = random.Random(4)
+    texts = [f"{rng.randint(1, 900)} high street{rng.choice(['', ', flat b', ' north'])}" for _ in range(3000)] + ["high street", "low road", "", None]
+    rows = [(i, x, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randint(0, 400))) for i, x in enumerate(texts)]
+    rows[7] = (7, rows[7][1], None)
+    applications = spark.createDataFrame(rows, "id long, site_address string, created_at timestamp")
+    wanted = [3000, 3001, 3002, 3003, 5, 6, 7]
+    targets = applications.where(F.col("id").isin(wanted)).select(F.col("id").alias("target_id"), F.col("site_address").alias("address"))
+    newest = lambda i: (rows[i][2] or dt.datetime(1, 1, 1), i)
+    ratio = lambda a, b: round(200.0 * len(a) / (len(a) + len(b))) / 100
+    found = {t: [i for i, x in enumerate(texts) if x and texts[t] and i != t and texts[t] in x] for t in wanted}
+
+    got = L.address_matches(targets, applications, 10).collect()
+    assert sorted((r.target_id, r["rank"], r.application_id) for r in got) == sorted(
+        (t, n + 1, i) for t, ids in found.items() for n, i in enumerate(sorted(ids, key=newest, reverse=True)[:10])
+    )
+    best = {r.target_id: r.application_id for r in L.closest_addresses(targets, applications, 0.0).collect()}
+    assert best == {t: max(ids, key=lambda i: (ratio(texts[t], texts[i]), *newest(i))) for t, ids in found.items() if ids}
+
+    distinct = applications.select(F.col("site_address").alias("candidate")).where("candidate is not null").distinct()
+    lone = spark.createDataFrame([("high street",)], "target string")
+    pairs = L.containing_pairs(lone, distinct, split_rows=100)
+    assert {r.candidate for r in pairs.collect()} == {x for x in texts if x and "high street" in x}
+    plan = L.address_matches(targets, applications)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def brute_throttle(times, window, most):
     sent, out = [], []
     for at in times:

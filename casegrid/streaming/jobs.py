@@ -6,9 +6,10 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from casegrid.functions.rule_catalog import FIELD_ALIASES
 from casegrid.operators import extract as E
@@ -76,18 +77,95 @@ def upsert_latest(snapshot: DataFrame, batch: DataFrame, keys: Sequence[str], or
     return latest(united, list(keys), [F.col(c) for c in order], columns)
 
 
-def upsert_writer(folder: str, keys: Sequence[str], order: Sequence[str]):
-    """A ``foreachBatch`` function that keeps the newest row per key as one snapshot per batch.
+class UpsertLog:
+    """The newest row per key, kept as runs of batches under ``folder`` and merged when read.
 
-    Batch n is merged into the snapshot of batch n - 1 and written under its own number, so a batch that is run again
-    after a failure writes the same snapshot again. Readers take the snapshot of the last finished batch.
+    Batch n is written as a run of its own, reduced to its newest row per key. Whenever ``fanout`` runs of one length
+    are full, they are merged into one run ``fanout`` times as long, so a row is written once per length: bytes follow
+    the batches and the logarithm of their number, not the size of the whole. Which runs a batch writes follows from its
+    number alone and an incomplete one is overwritten, so a batch that is run again after a failure leaves the same runs.
+    A run counts once Spark has marked it complete; a reader takes the longest complete runs and may read while batches
+    are written. Rows equal in ``order`` are decided by their other columns, the greatest first. Null keys are keys.
+    ``expire`` deletes runs that a longer one covers; no reader of an older state may be at work then.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = batch.limit(0) if batch_id == 0 else batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/batch={batch_id - 1}")
-        upsert_latest(before, batch, keys, order).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
-    return write
+    def __init__(self, folder: str, keys: Sequence[str], order: Sequence[str], fanout: int = 8):
+        if fanout < 2:
+            raise ValueError("fanout must be 2 or more")
+        self.folder, self.keys, self.order, self.fanout = folder.rstrip("/"), list(keys), list(order), fanout
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """For ``foreachBatch``; batch ids start at 0 and have no gaps. Runs that are complete are left as they are."""
+        spark, lengths = batch.sparkSession, [1]
+        while (batch_id + 1) % (lengths[-1] * self.fanout) == 0:
+            lengths.append(lengths[-1] * self.fanout)
+        done = max((n for n in lengths if self._complete(spark, batch_id + 1 - n, n)), default=0)
+        if done == 0:
+            self._put(batch, batch_id, 1)
+        for length in [n for n in lengths if n > max(done, 1)]:
+            first, part = batch_id + 1 - length, length // self.fanout
+            parts = self._rows(spark, [(first + i * part, part) for i in range(self.fanout)], batch.schema)
+            self._put(parts, first, length)
+
+    def current(self, spark: SparkSession, batch_id: int, schema: StructType) -> DataFrame:
+        """The state after batch ``batch_id``. Filters on the keys reach the scans of all runs."""
+        return self._newest(self._rows(spark, self.runs(spark, batch_id), schema))
+
+    def runs(self, spark: SparkSession, batch_id: int) -> list[tuple[int, int]]:
+        """(first batch, length) of the longest complete runs that cover all batches up to ``batch_id``."""
+        found, first = [], 0
+        while first <= batch_id:
+            length = 1
+            while first % (length * self.fanout) == 0 and first + length * self.fanout <= batch_id + 1:
+                length *= self.fanout
+            while length > 1 and not self._complete(spark, first, length):
+                length //= self.fanout
+            if length == 1 and not self._complete(spark, first, 1):
+                raise FileNotFoundError(f"batch {first} has not been written to {self.folder}")
+            found.append((first, length))
+            first += length
+        return found
+
+    def expire(self, spark: SparkSession, batch_id: int) -> int:
+        """Delete the runs inside the ones that the state after ``batch_id`` reads; how many there were."""
+        deleted = 0
+        for first, length in self.runs(spark, batch_id):
+            part = length // self.fanout
+            while part:
+                deleted += sum(self._delete(spark, at, part) for at in range(first, first + length, part))
+                part //= self.fanout
+        return deleted
+
+    def _path(self, first: int, length: int) -> str:
+        return f"{self.folder}/length-{length}/first-{first}"
+
+    def _rows(self, spark: SparkSession, runs: Sequence[tuple[int, int]], schema: StructType) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[self._path(*run) for run in runs])
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        columns = [c for c in rows.columns if c not in self.keys]
+        return latest(rows, self.keys, [F.col(c) for c in self.order], columns).select(rows.columns)
+
+    def _put(self, rows: DataFrame, first: int, length: int) -> None:
+        self._newest(rows).write.mode("overwrite").parquet(self._path(first, length))
+
+    def _place(self, spark: SparkSession, first: int, length: int, name: str = ""):
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self._path(first, length)}/{name}".rstrip("/"))
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _complete(self, spark: SparkSession, first: int, length: int) -> bool:
+        files, mark = self._place(spark, first, length, "_SUCCESS")
+        return files.exists(mark)
+
+    def _delete(self, spark: SparkSession, first: int, length: int) -> bool:
+        files, path = self._place(spark, first, length)
+        return files.delete(path, True)
+
+
+def upsert_writer(folder: str, keys: Sequence[str], order: Sequence[str], fanout: int = 8) -> Writer:
+    """A ``foreachBatch`` function that keeps the newest row per key; read with ``UpsertLog(...).current``."""
+    return UpsertLog(folder, keys, order, fanout).write
 
 
 # ---- alert throttle ----------------------------------------------------------------------------

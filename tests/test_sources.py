@@ -1,7 +1,9 @@
 import datetime as dt
 import json
+import random
 
 import pytest
+from pyspark.sql.types import StructType
 
 from casegrid.functions.rule_catalog import builtin_rules
 from casegrid.operators.community import community_nodes
@@ -138,15 +140,46 @@ def test_decisions_are_upserted_and_batches_may_repeat(spark, tmp_path):
     schema = "run_id long, check_id long, decision string, event_id long"
     rows = [(i % 2, i % 5, ["accept", "reject", "need_info"][i % 3], i) for i in range(60)]
     out = str(tmp_path / "out")
+    log = jobs.UpsertLog(out, ["run_id", "check_id"], ["event_id"])
     write = jobs.upsert_writer(out, ["run_id", "check_id"], ["event_id"])
     query = arriving(spark, tmp_path, rows, schema).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert query.exception() is None
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir() if p.name.startswith("batch="))
-    newest = {}
-    for run, check, decision, event in rows:
-        newest[run, check] = (decision, event)
-    read = lambda: {(r.run_id, r.check_id): (r.decision, r.event_id) for r in spark.read.schema(schema).parquet(f"{out}/batch={last}").collect()}
+    last = max(int(p.name.split("-")[1]) for p in (tmp_path / "out" / "length-1").iterdir())
+    newest = {(run, check): (decision, event) for run, check, decision, event in rows}
+    read = lambda: {(r.run_id, r.check_id): (r.decision, r.event_id) for r in log.current(spark, last, query_schema).collect()}
+    query_schema = StructType.fromDDL(schema)
     assert read() == newest
     write(spark.createDataFrame(rows[-3:], schema), last)
     assert read().keys() <= newest.keys()
+
+
+def test_upsert_log_merges_runs_and_survives_repeats(spark, tmp_path):
+    schema = StructType.fromDDL("k long, v string, at long")
+    log = jobs.UpsertLog(str(tmp_path / "log"), ["k"], ["at"], fanout=2)
+    rng, state, written = random.Random(5), {}, []
+    with pytest.raises(FileNotFoundError):
+        log.runs(spark, 0)
+    for n in range(11):
+        # batch 3 is empty; keys may be null; late rows do not win; ties go to the greatest value
+        rows = [] if n == 3 else [(rng.choice([None, *range(30)]), f"v{rng.randint(0, 9)}", 10 * n + rng.randint(-15, 9)) for _ in range(8)]
+        written.append(rows)
+        for k, v, at in rows:
+            state[k] = max(state.get(k, (at, v)), (at, v))
+        log.write(spark.createDataFrame(rows, schema), n)
+        if n in (4, 7):  # the driver died after the batch and runs it again
+            log.write(spark.createDataFrame(rows, schema), n)
+        if n in (0, 3, 6, 10):
+            assert {r.k: (r.at, r.v) for r in log.current(spark, n, schema).collect()} == state
+    assert log.runs(spark, 10) == [(0, 8), (8, 2), (10, 1)]
+    # a merged run that was cut off before it was complete is not read
+    (tmp_path / "log" / "length-8" / "first-0" / "_SUCCESS").unlink()
+    assert log.runs(spark, 10) == [(0, 4), (4, 4), (8, 2), (10, 1)]
+    assert {r.k: (r.at, r.v) for r in log.current(spark, 10, schema).collect()} == state
+    log.write(spark.createDataFrame(written[7], schema), 7)
+    assert log.expire(spark, 10) == 2 + 4 + 8 + 2 and log.runs(spark, 10) == [(0, 8), (8, 2), (10, 1)]
+    log.write(spark.createDataFrame(written[7], schema), 7)  # its parts are gone, its longest run is complete
+    assert log.runs(spark, 10) == [(0, 8), (8, 2), (10, 1)]
+    assert {r.k: (r.at, r.v) for r in log.current(spark, 10, schema).collect()} == state
+    plan = log.current(spark, 10, schema).where("k = 4")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,4)" in plan

@@ -50,6 +50,39 @@ def test_communities_of_cliques(spark):
     assert len(labels) == 15 and sorted(map(tuple, groups.values())) == [("c0",), ("c1",), ("c2",)]
 
 
+def test_communities_are_split_where_their_links_do_not_connect_them(spark):
+    edges = [("a", g, x, y, 1.0) for g in (0.5, 1.0) for x, y in ("pq", "qr", "st", "tu", "ru")]
+    links = C._links(spark.createDataFrame(edges, "app_id string, gamma double, src string, dst string, weight double"))
+    degrees = links.groupBy("app_id", "gamma", F.col("src").alias("node_id")).agg(F.sum("weight").alias("k"))
+    given = [("a", 0.5, n, "one") for n in "pqrstu"] + [("a", 1.0, n, "x" if n in "pqst" else "y") for n in "pqrstu"]
+    labels = spark.createDataFrame(given, "app_id string, gamma double, node_id string, label string")
+    split = C.connected(links, labels)
+    got = {(r.gamma, r.node_id): r.label for r in split.collect()}
+    assert got == {(0.5, n): "p" for n in "pqrstu"} | {(1.0, n): x for n, x in zip("pqrstu", "pprssr")}
+    before = {r.gamma: r.modularity for r in C.modularity(links, degrees, labels).collect()}
+    after = {r.gamma: r.modularity for r in C.modularity(links, degrees, split).collect()}
+    assert after[0.5] == pytest.approx(before[0.5]) and after[1.0] > before[1.0]
+
+
+def test_detected_communities_are_connected(spark):
+    rng = random.Random(8)
+    names = [f"n{i:02d}" for i in range(24)] + ["alone"]
+    pairs = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(24), rng.randrange(24)) for _ in range(36)) if a != b}
+    rows = [("g", names[a], names[b], float(rng.randint(1, 3))) for a, b in sorted(pairs)]
+    nodes = C.with_resolutions(spark.createDataFrame([("g", n) for n in names], "app_id string, node_id string"), [1.0])
+    edges = C.with_resolutions(spark.createDataFrame(rows, "app_id string, src string, dst string, weight double"), [1.0])
+    label = {r.node_id: r.label for r in C.detect(nodes, edges).collect()}
+    assert label.keys() == set(names)
+    for community in set(label.values()):
+        members = {n for n in names if label[n] == community}
+        seen, todo = set(), [min(members)]
+        while todo:
+            at = todo.pop()
+            seen.add(at)
+            todo += [y for _, a, b, _ in rows for x, y in ((a, b), (b, a)) if x == at and y in members and y not in seen]
+        assert seen == members and community == min(members)
+
+
 def test_profile_and_coherence(spark):
     labels = spark.createDataFrame([("a", "x", "1"), ("a", "y", "1"), ("a", "z", "2")], "app_id string, node_id string, label string")
     nodes = spark.createDataFrame([("a", "x", "Room"), ("a", "y", "Room"), ("a", "z", "Boundary")], "app_id string, node_id string, node_type string")

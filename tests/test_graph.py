@@ -71,7 +71,7 @@ def test_detected_communities_are_connected(spark):
     rows = [("g", names[a], names[b], float(rng.randint(1, 3))) for a, b in sorted(pairs)]
     nodes = C.with_resolutions(spark.createDataFrame([("g", n) for n in names], "app_id string, node_id string"), [1.0])
     edges = C.with_resolutions(spark.createDataFrame(rows, "app_id string, src string, dst string, weight double"), [1.0])
-    label = {r.node_id: r.label for r in C.detect(nodes, edges).collect()}
+    label = {r.node_id: r.label for r in C.detect(nodes, edges, levels=1).collect()}
     assert label.keys() == set(names)
     for community in set(label.values()):
         members = {n for n in names if label[n] == community}

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from casegrid.operators import conflicts as X
 from casegrid.plans.bridge import Tables
@@ -64,3 +65,20 @@ def test_only_the_parents_rows_move_for_a_version_delta(spark, folder):
     found = V.field_deltas(pairs, t.fields)
     # lines and pairs for either side, and the parent's rows
     assert exchanges(found) <= 5
+
+
+def test_a_sweep_keeps_what_each_rate_alone_would_keep(spark):
+    from casegrid.operators import evaluate as M
+
+    rates = [0.0, 0.1, 0.3, 0.5]
+    # one node comes twice, one application has no name
+    nodes = spark.createDataFrame([(a, f"n{k % 29}", "Room" if k % 4 else "Page") for a in ("x", "y", None) for k in range(30)], "app_id string, node_id string, node_type string")
+    edges = spark.createDataFrame([(a, f"n{k % 29}", f"n{k * 7 % 29}", "CONTAINS") for a in ("x", "y", None) for k in range(60)], "app_id string, src string, dst string, edge_type string")
+    kept, alive = M.degradation_sweep(nodes, edges, rates)
+    assert "explode" not in alive._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1].lower()
+    for rate in rates:
+        one, other = M.drop_entities(nodes, edges, ["app_id"], F.lit(rate), 42)
+        other = M.drop_relationships(other, ["app_id"], F.lit(rate), 43)
+        assert sorted(map(str, kept.where(f"rate = {rate}").drop("rate").collect())) == sorted(map(str, one.collect()))
+        columns = ["app_id", "src", "dst", "edge_type"]
+        assert sorted(map(str, alive.where(f"rate = {rate}").select(columns).collect())) == sorted(map(str, other.select(columns).collect()))

@@ -32,7 +32,7 @@ def built(spark, folder, name):
     return all_queries()[name].build(Tables(spark, folder))
 
 
-@pytest.mark.parametrize(("name", "most"), [("best_fields", 1), ("field_conflicts", 1), ("conflict_options", 3)])
+@pytest.mark.parametrize(("name", "most"), [("best_fields", 1), ("field_conflicts", 1), ("conflict_options", 2)])
 def test_fields_are_dealt_while_a_line_is_one_row(spark, folder, name, most):
     found = built(spark, folder, name)
     plan = found._jdf.queryExecution().executedPlan().toString()

@@ -157,6 +157,49 @@ def test_a_thousand_equal_labels_with_a_few_links_take_few_rounds(spark, monkeyp
     assert len(rounds) <= 2
 
 
+@pytest.mark.parametrize("seed, labels", [(15, "abc"), (16, "abcdefghijklmnop")])
+def test_large_groups_are_cut_into_parts_that_nothing_connects(spark, monkeypatch, seed, labels):
+    monkeypatch.setattr(O, "GROUP", 10)
+    rng = random.Random(seed)
+    keys = ["north", "wall", "gate", "yard"]
+    truth = {t: (rng.choice([rng.choice(labels), None]), rng.choice([None, *keys])) for t in range(60)}
+    pred = {p: (rng.choice([rng.choice(labels), None]), rng.choice([None, *[f"the {k} side" for k in keys], "north wall"])) for p in range(60)}
+    want = in_sequence(truth, pred, lambda t, p: bool(t[0]) and t[0] == p[0] or bool(t[1]) and bool(p[1]) and t[1] in p[1])
+    td = spark.createDataFrame([("s", t, *v, None) for t, v in truth.items()] + [("few", 0, "a", "north", None)], TRUTH)
+    pd_ = spark.createDataFrame([("s", p, *v, None) for p, v in pred.items()] + [("few", 0, "x", "north wall", None)], PRED)
+    matches = O.match_in_order(*O.entity_sides(td, pd_, ["k"]), ["k"])
+    assert pairs_of(matches.where("k = 's'")) == want
+    assert pairs_of(matches.where("k = 'few'")) == {(0, 0)}
+
+
+def test_items_that_fit_by_one_mark_are_no_pairs(spark):
+    truth = spark.range(300).selectExpr("'s' AS k", "cast(id AS int) AS truth_id", "concat('t', id) AS label", "'hall' AS match_key", "10.0D AS area")
+    pred = spark.range(400).selectExpr("'s' AS k", "cast(id AS int) AS pred_id", "concat('p', id) AS label", "'great hall' AS entity_key", "10.5D AS area")
+    sides = O.entity_sides(truth, pred, ["k"])
+    assert sides[2].count() == 2
+    assert pairs_of(O.match_in_order(*sides, ["k"])) == {(i, i) for i in range(300)}
+    ends = [df.selectExpr("k", "'ADJACENT_TO' AS type", i, f"'kitchen' AS {a}", f"'hall' AS {b}") for df, i, a, b in ((truth, "truth_id", "src", "dst"), (pred, "pred_id", "src_label", "dst_label"))]
+    sides = O.relationship_sides(*ends, ["k"])
+    assert sides[2].count() == 1
+    assert pairs_of(O.match_in_order(*sides, ["k", "type"])) == {(i, i) for i in range(300)}
+
+
+def test_an_item_that_comes_twice_counts_twice(spark):
+    truth = spark.createDataFrame([("s", 1, "hall", "hall", None), ("s", 1, "hall", "hall", None), (None, 2, "hall", None, None)], TRUTH)
+    pred = spark.createDataFrame([("s", p, label, "great hall", None) for p, label in ((1, "x"), (2, "hall"), (3, "hall"))] + [(None, 4, "hall", None, None)], PRED)
+    matches = O.match_in_order(*O.entity_sides(truth, pred, ["k"]), ["k"])
+    assert sorted((r.pred_id, r.truth_id) for r in matches.collect()) == [(1, 1), (2, 1)]
+
+
+def test_groups_of_the_same_names_compare_them_once(spark, monkeypatch):
+    compared = []
+    monkeypatch.setattr(O, "contained_pairs", lambda parts, *a, plain=O.contained_pairs: compared.append(parts.count()) or plain(parts, *a))
+    td = spark.range(50).selectExpr("id AS k", "'value' AS conflict_type", "concat('t', id) AS truth_id", "explode(array('note', 'front note')) AS field_name")
+    pd_ = spark.range(50).selectExpr("id AS k", "'value' AS conflict_type", "concat('p', id) AS pred_id", "'a front note' AS field_name")
+    truth, predicted, links = O.conflict_sides(td, pd_, ["k"])
+    assert sorted(compared) == [1, 2] and links.count() == 100
+
+
 def test_relationships_match_by_parts_of_both_ends(spark):
     rng = random.Random(4)
     names = ["kitchen", "hall", "Main Kitchen", "great hall east", "wall", "", "ha"]

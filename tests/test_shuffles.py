@@ -82,3 +82,20 @@ def test_a_sweep_keeps_what_each_rate_alone_would_keep(spark):
         assert sorted(map(str, kept.where(f"rate = {rate}").drop("rate").collect())) == sorted(map(str, one.collect()))
         columns = ["app_id", "src", "dst", "edge_type"]
         assert sorted(map(str, alive.where(f"rate = {rate}").select(columns).collect())) == sorted(map(str, other.select(columns).collect()))
+
+
+def test_communities_of_checks_are_found_where_the_lines_were_dealt(spark, folder):
+    from casegrid.operators import community as C
+
+    found = built(spark, folder, "community_compliance")
+    # lines and two sides of geometry with its result, wherever claims are read
+    assert exchanges(found) <= 10
+    rows = [("a", "n1", "area"), ("a", "n2", "area"), ("a", "n3", "note"), ("a", "n4", "loose"), (None, "n1", "area")]
+    claims = spark.createDataFrame(rows, "app_id string, node_id string, field_name string")
+    labels = spark.createDataFrame([("a", "n1", "1"), ("a", "p1", "7"), ("a", "p2", "8"), (None, "n1", "9")], "app_id string, node_id string, label string")
+    edges = spark.createDataFrame([("a", "p2", "n2"), ("a", "p1", "n2"), ("a", "p2", "n3"), ("a", "p3", "n4"), ("a", "p2", "n1")], "app_id string, src string, dst string")
+    fields = C.claim_communities(claims, labels, edges)
+    assert {tuple(r) for r in fields.collect()} == {("a", "area", "7"), ("a", "note", "8")}
+    checks = [("a", "c1", "pass", ["loose", "note"]), ("a", "c2", "fail", ["loose"]), (None, "c3", "fail", ["area"]), ("a", "c4", "fail", []), ("a", "c5", "fail", ["area", "note"])]
+    counted = C.compliance(spark.createDataFrame(checks, "app_id string, check_id string, status string, required_fields array<string>"), fields)
+    assert sorted((r.app_id or "", r.label, r["pass"], r["fail"]) for r in counted.collect()) == [("", "-1", 0, 1), ("a", "-1", 0, 2), ("a", "7", 0, 1), ("a", "8", 1, 0)]

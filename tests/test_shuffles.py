@@ -99,3 +99,21 @@ def test_communities_of_checks_are_found_where_the_lines_were_dealt(spark, folde
     checks = [("a", "c1", "pass", ["loose", "note"]), ("a", "c2", "fail", ["loose"]), (None, "c3", "fail", ["area"]), ("a", "c4", "fail", []), ("a", "c5", "fail", ["area", "note"])]
     counted = C.compliance(spark.createDataFrame(checks, "app_id string, check_id string, status string, required_fields array<string>"), fields)
     assert sorted((r.app_id or "", r.label, r["pass"], r["fail"]) for r in counted.collect()) == [("", "-1", 0, 1), ("a", "-1", 0, 2), ("a", "7", 0, 1), ("a", "8", 1, 0)]
+
+
+def test_documents_of_one_row_group_are_extracted_by_many_tasks(spark, tmp_path):
+    rows = [(k if k % 9 else None, f"text {k}\nsite address: {k} Mill Lane", "en", "a", 20) for k in range(90)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    dealt = Tables(spark, str(tmp_path)).layouts
+    parts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) > 1 and sum(parts) == 90
+
+
+def test_a_hit_is_searched_once_whatever_its_uses(spark, tmp_path):
+    from casegrid.functions import patterns as P
+    from casegrid.operators import extract as E
+
+    spark.createDataFrame([(1, "text", "en", "a", 4)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    found = E.field_rows(E.extract(Tables(spark, str(tmp_path)).layouts, ["doc_id"]), ["doc_id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(E._any(P.LABELS["agent_name"])) == 1

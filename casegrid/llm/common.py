@@ -178,3 +178,65 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     if share < 1 and near.count() < rows:  # as good as never
         near = df
     return near.orderBy(place, F.col(key)).limit(rows)
+
+
+#: Bins into which a pass of ``ranked`` deals the values that are left.
+BINS = 4096
+
+
+def ranked(df: DataFrame, column: str, rank: int) -> tuple[float, float]:
+    """The value at ``rank`` (from 0, ascending) over all rows and the one after it; the last one is its own successor.
+
+    Each pass counts the values left in ever narrower bins, so nothing is sorted or brought together.
+    """
+    low, high, left = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    after = None
+    while low < high:
+        bin_ = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(high - low) * BINS), F.lit(BINS - 1))
+        counted = df.filter(F.col(column).between(low, high)).groupBy(bin_.alias("bin"))
+        bins = sorted(counted.agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect())
+        at = 0
+        while rank >= bins[at]["n"]:
+            rank -= bins[at]["n"]
+            at += 1
+        after = bins[at + 1]["low"] if at + 1 < len(bins) else after
+        low, high, left = bins[at]["low"], bins[at]["high"], bins[at]["n"]
+    return low, low if rank + 1 < left or after is None else after
+
+
+def quantile(df: DataFrame, column: str, share: float, total: int) -> float:
+    """``numpy.quantile`` of a column of ``total`` rows."""
+    at = (total - 1) * share
+    return float(np.quantile(ranked(df, column, int(at)), at - int(at)))
+
+
+def lots(df: DataFrame, key: str, columns: list[str], draws: int, size: int, total: int, seed: int) -> list[np.ndarray]:
+    """``draws`` random lots of ``size`` of all ``total`` rows: each lot follows a place of its own in the order of the keys' hashes."""
+    starts = np.random.default_rng(seed).integers(0, 2**64, draws, dtype=U64)
+    share = 2 * (size + 100) / total
+    while True:
+        width = U64(min(int(share * 2**64), 2**64 - 1))
+
+        def near(batches: Iterator[dict[str, list]], width=width) -> Iterator[dict[str, list]]:
+            kept: list[np.ndarray] = [np.empty((0, len(columns)))] * draws
+            offs: list[np.ndarray] = [np.empty(0, dtype=U64)] * draws
+            for batch in batches:
+                place = np.array(batch["_place"], dtype=np.int64).view(U64)
+                x = np.array([batch[c] for c in columns], dtype=np.float64).T.reshape(-1, len(columns))
+                for t in range(draws):
+                    off = place - starts[t]
+                    at = np.flatnonzero(off <= width)
+                    if len(at):
+                        off, rows = np.concatenate([offs[t], off[at]]), np.concatenate([kept[t], x[at]])
+                        order = np.argsort(off, kind="stable")[:size]
+                        offs[t], kept[t] = off[order], rows[order]
+            for t in range(draws):
+                yield {"lot": [t] * len(offs[t]), "off": offs[t].view(np.int64).tolist(), "x": kept[t].tolist()}
+
+        placed = df.select(F.xxhash64(F.lit(seed), F.col(key)).alias("_place"), *columns)
+        found: list[list] = [[] for _ in range(draws)]
+        for r in map_rows(placed, "lot int, off long, x array<double>", near).collect():
+            found[r["lot"]].append((r["off"] % 2**64, r["x"]))
+        if share >= 1 or min(map(len, found)) >= size:
+            return [np.array([x for _, x in sorted(lot)[:size]]).reshape(-1, len(columns)) for lot in found]
+        share *= 8

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from casegrid.llm.common import quantile, ranked
 from casegrid.llm.quality_forest import Forest, calibrated, fit_forest, judged_documents, keep_good, usual_length
 from casegrid.llm.site_bayes import fit_logistic, judge_sites
 from casegrid.llm.text_stats import counts, features
@@ -236,3 +237,36 @@ def test_bounded_sample_is_the_least_hashes(spark):
     for n in (50, 19_000, 30_000):
         want = [r.doc_id for r in rows.orderBy(place, "doc_id").limit(n).collect()]
         assert [r.doc_id for r in bounded_sample(rows, "doc_id", n, 3).collect()] == want
+
+
+def marked_texts(spark):
+    """400 labelled texts in shares of all kinds; symbols mark the bad ones."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"word{i}" for i in rng.integers(0, 10**6, n))
+    rows = [(k, words(60) + (" #" * int(rng.integers(12, 30)) if k % 8 == 0 else " #" * int(rng.integers(0, 3))), "en", f"s{k % 7}") for k in range(400)]
+    marks = edges.labels(spark, [(k, int(k % 8 > 0), 0) for k in range(400)])
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3), marks
+
+
+def test_values_by_rank_are_exact(spark):
+    values = np.concatenate([np.random.default_rng(5).normal(0, 1, 300) ** 9, np.zeros(40), [1e-300, 3.0, 3.0, 1e6]])
+    rows, order = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3), np.sort(values)
+    for rank in (0, 1, 150, 170, len(values) - 2):
+        assert ranked(rows, "v", rank) == (order[rank], order[rank + 1])
+    assert ranked(rows, "v", len(values) - 1) == (order[-1], order[-1])
+    for share in (0.0, 0.02, 0.999, 1.0):
+        assert quantile(rows, "v", share, len(values)) == np.quantile(values, share)
+
+
+def test_more_labelled_rows_than_the_driver_holds_all_count(spark):
+    docs, marks = marked_texts(spark)
+    whole = {r.doc_id: r.kept for r in judged_documents(docs, marks).collect()}
+    spread = judged_documents(docs, marks, sample_rows=20)
+    rows = {r.doc_id: r.kept for r in spread.collect()}
+    # every labelled good row takes part in the calibration, so none is rejected, and all bad ones lie beyond
+    assert rows == whole and all(rows[k] == (k % 8 > 0) for k in rows)
+    assert {r.doc_id for r in keep_good(docs, marks, sample_rows=20).collect()} == {k for k, kept in rows.items() if kept}
+    a = {r.doc_id: r for r in judge_sites(docs, marks).collect()}
+    b = {r.doc_id: r for r in judge_sites(docs, marks, sample_rows=20).collect()}
+    assert np.allclose([a[k].p_doc for k in sorted(a)], [b[k].p_doc for k in sorted(a)], rtol=1e-6, atol=1e-12)
+    assert [a[k].kept for k in sorted(a)] == [b[k].kept for k in sorted(a)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrid.functions.codes import contains_any
@@ -83,7 +83,27 @@ def _addresses(targets: DataFrame, applications: DataFrame) -> tuple[DataFrame,
     addressed = applications.where(F.col("site_address").isNotNull()).select(
         F.col("id").alias("application_id"), F.lower("site_address").alias("candidate"), "created_at"
     )
-    return cleaned, addressed
+    # each task sorts what it reads by address; a file of one row group would be a single task
+    return cleaned, addressed.repartition("application_id", "candidate")
+
+
+def _best_others(cleaned: DataFrame, found: DataFrame, order: Sequence[Column], names: Sequence[str], limit: int) -> DataFrame:
+    """(target_id, target, rank, …): the first ``limit`` applications of each target's addresses in ``order``, itself left out.
+
+    ``found`` has a few rows per target. Targets with the same addresses share one short list, and each reads its own in
+    place, so the matches of all targets are never sorted. Further copies of an address than ``limit`` change nothing.
+    """
+    dealt = cleaned.where(F.col("self").isNotNull()).repartition("target_id")
+    copies = dealt.groupBy("target_id", "target").agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("copies"))
+    asked = copies.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("target", "copies"))).alias("asked"))
+    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*order)))
+    lists = asked.select("asked").distinct().select("asked", F.inline("asked")).join(ranked, "target")
+    lists = lists.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    lists = lists.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(*order, "target", "place", "copy")))
+    lists = lists.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("place", "target", *names))).alias("matches"))
+    others = F.filter("matches", lambda m: m["application_id"] != F.col("target_id"))
+    met = asked.join(lists, "asked").select("target_id", F.posexplode(F.slice(others, 1, limit)).alias("n", "m"))
+    return met.select("target_id", (F.col("n") + 1).alias("rank"), "m.target", *[f"m.{name}" for name in names])
 
 
 def closest_addresses(targets: DataFrame, applications: DataFrame, least: float = 0.9) -> DataFrame:
@@ -100,8 +120,7 @@ def closest_addresses(targets: DataFrame, applications: DataFrame, least: float
     best_addresses = [F.col("similarity").desc(), F.col("newest_at").desc(), F.col("newest_id").desc()]
     pairs = top_per_key(pairs, ["target"], best_addresses, 2).drop("rank", "newest_at", "newest_id")
     per_target = top_per_key(pairs.join(shortlist.drop("rank"), "candidate"), ["target"], [F.col("similarity").desc(), *newest], 2).drop("rank")
-    others = cleaned.join(per_target, "target").where(F.col("self") != F.col("application_id"))
-    best = top_per_key(others, ["target_id"], [F.col("similarity").desc(), *newest], 1)
+    best = _best_others(cleaned, per_target, [F.col("similarity").desc(), *newest], ["application_id", "similarity"], 1)
     return best.select("target_id", "application_id", "similarity")
 
 
@@ -119,10 +138,8 @@ def address_matches(targets: DataFrame, applications: DataFrame, limit: int = CA
     pairs = top_per_key(pairs, ["target"], [F.col("newest_at").desc(), F.col("newest_id").desc()], limit + 1)
     pairs = pairs.select("target", "candidate")
     per_target = top_per_key(pairs.join(shortlist.drop("rank"), "candidate"), ["target"], newest, limit + 1).drop("rank")
-    others = cleaned.join(per_target, "target").where(F.col("self") != F.col("application_id"))
-    return top_per_key(others, ["target_id"], newest, limit).select(
-        "target_id", "application_id", "rank", similarity(F.col("target"), F.col("candidate")).alias("similarity")
-    )
+    best = _best_others(cleaned, per_target, newest, ["application_id", "candidate"], limit)
+    return best.select("target_id", "application_id", "rank", similarity(F.col("target"), F.col("candidate")).alias("similarity"))
 
 
 def application_postcodes(submissions: DataFrame, fields: DataFrame) -> DataFrame:

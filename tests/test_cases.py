@@ -249,3 +249,23 @@ def test_rule_dependencies(spark):
     )
     got = {r.rule_id: r.triggered_by_rules for r in D.rule_dependencies(rules).collect()}
     assert got == {"A": [], "B": ["A"], "C": ["A", "B"]}
+
+
+def test_the_matches_of_all_targets_are_never_sorted(spark):
+    # targets and applications that come twice or more, also under one id with other addresses, and without an id
+    streets = ["high street", "1 high street", "21 high street", "low road", "2 low road"]
+    rows = [(k % 23 if k % 11 else None, streets[k * 7 % 5], dt.datetime(2024, 1, 1) + dt.timedelta(hours=k * 5 % 17)) for k in range(60)]
+    rows += [(99, "high street", dt.datetime(2025, 1, 1))] * 13
+    applications = spark.createDataFrame(rows, "id long, site_address string, created_at timestamp")
+    targets = applications.select(F.col("id").alias("target_id"), F.col("site_address").alias("address"))
+    newest = lambda r: (r[2], -1 if r[0] is None else r[0])
+    want = set()
+    for t in {r[0] for r in rows} - {None}:
+        met = [r for own in rows if own[0] == t for r in sorted((r for r in rows if own[1] in r[1]), key=newest, reverse=True)[:4]]
+        met = sorted((r for r in met if r[0] is not None and r[0] != t), key=newest, reverse=True)[:3]
+        want |= {(t, n + 1, r[0]) for n, r in enumerate(met)}
+    found = L.address_matches(targets, applications, 3)
+    got = [(r.target_id, r["rank"], r.application_id) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(target_id" not in plan

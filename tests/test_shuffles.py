@@ -117,3 +117,21 @@ def test_a_hit_is_searched_once_whatever_its_uses(spark, tmp_path):
     found = E.field_rows(E.extract(Tables(spark, str(tmp_path)).layouts, ["doc_id"]), ["doc_id"])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(E._any(P.LABELS["agent_name"])) == 1
+
+
+@pytest.mark.parametrize(("name", "column"), [("changed_documents", "hash_changes"), ("document_multiset_changes", "extra_copies")])
+def test_versions_of_documents_are_compared_where_their_lines_were_dealt(spark, folder, name, column):
+    found = built(spark, folder, name)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any(word in line for line in moved for word in ("name", "member", "content_hash", "document_type"))
+    docs = {(k, o): [] for k in range(9) for o in range(7)}
+    for k in range(80):
+        docs[k % 9, k % 7].append(k % 7)
+    # the orders of a customer are three apart
+    pairs = [(a - 3, a, line) for a in range(3, 9) for line in range(7)]
+    if name == "changed_documents":
+        want = sum(len(set(docs[p, n]) ^ set(docs[s, n])) for p, s, n in pairs if docs[p, n] and docs[s, n])
+    else:
+        want = sum(len(docs[s, n]) - len(docs[p, n]) for p, s, n in pairs)
+    assert sum(r[column] for r in found.collect()) == want

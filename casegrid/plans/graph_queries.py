@@ -113,9 +113,10 @@ def application_subgraph(t: Tables) -> DataFrame:
     SELECT app_id, total_nodes, coalesce(total_edges, 0) AS total_edges, round(coalesce(total_edges, 0) / (total_nodes * (total_nodes - 1)), 8) AS density, components, components = 1 AS connected FROM n LEFT JOIN m USING (app_id)""",
 )
 def graph_summary(t: Tables) -> DataFrame:
-    """Counts, density and components of each whole graph."""
-    nodes = _nodes(t)
-    edges = _edges(t, nodes)
+    """Counts, density and components of each whole graph: its ends are worked out once and read many times."""
+    found = _nodes(t)
+    nodes = cut_lineage(found.select("app_id", "node_id"))
+    edges = cut_lineage(_edges(t, found).select("app_id", "src", "dst"))
     return G.graph_summary(nodes, edges, G.components(nodes, edges))
 
 

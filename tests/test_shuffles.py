@@ -157,3 +157,16 @@ def test_spatial_facts_count_all_and_show_the_first(spark):
     area = "floor_area: {0}sqm > 22.0sqm (maximum)".format
     assert got[1] == (6, 8, 7, 6, [area(30.0), area(30.0), area(31.0)])
     assert got[2] == (1, 0, None, None, []) and got[3] == (1, 1, None, None, []) and got[None] == (1, 1, None, None, [])
+
+
+def test_a_graph_is_worked_out_once_for_its_summary(spark, tmp_path):
+    day = datetime.datetime(1996, 1, 1)
+    lines = [(k % 9, k % 7, k % 5, k % 7 + 1, float(k), 0.1, 0.1, "R", "F", day) for k in range(80)]
+    spark.createDataFrame(lines, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(k, "small ring", "Brand#1", "LARGE", 6, 1.0) for k in range(8)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, "x", "en", "a", 1) for k in range(9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = built(spark, str(tmp_path), "graph_summary")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(f"{name}.parquet" in plan for name in ("lineitem", "part", "documents"))
+    assert [(r.total_nodes, r.total_edges, r.components) for r in found.collect()] == [(8, 35, 2)]

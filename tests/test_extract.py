@@ -139,3 +139,30 @@ def test_long_documents_stay_linear(spark):
     pages = {r.page_number: r.text for r in page_texts(whole, "doc_id").collect()}
     assert len(pages) == 2000 and pages[2000].split("\n") == [f"text {i}" for i in range(19_990, 20_000)]
     assert time.time() - start < 60
+
+
+def test_document_evidence_shows_the_first_snippets_of_every_kind(spark):
+    # the second row repeats the id of the first, the third has no id
+    docs = [(0, ["", "a" * 120, *[f"line {n}" for n in range(9)]]), (0, ["other", "Ridge 8.5m", "Ridge 9.5m", "Ridge 7.5m", "Ridge 6.5m"]), (None, ["alone"])]
+    rows = [(i, [(text, 1 + n // 4, n, None, None) for n, text in enumerate(lines)], [(1, 2, 3, [(0, 0, "c", "x"), (0, 1, "d", "x")])]) for i, lines in docs]
+    cells = "array<struct<row_count:long,column_count:long,page_number:long,cells:array<struct<row_index:long,column_index:long,content:string,kind:string>>>>"
+    frame = spark.createDataFrame(rows, f"doc_id long, text_blocks array<{BLOCK}>, tables {cells}")
+    evidence = E.document_evidence(frame, E.extract(frame, ["doc_id"]), ["doc_id"])
+    got = {(r.doc_id, r.evidence_type): r for r in E.evidence_summary(evidence, ["doc_id"]).collect()}
+    text, table, alone = got[0, "text_block"], got[0, "table"], got[None, "text_block"]
+    assert (text.rows, text.pages, text.snippets) == (16, 3, ["other", "Ridge 8.5m", "a" * 100 + "...", "Ridge 9.5m", "line 0"])
+    assert (table.rows, table.pages, table.snippets) == (2, 1, ["c | d", "c | d"])
+    assert (alone.rows, alone.pages, alone.snippets) == (1, 1, ["alone"])
+    measured = evidence.where("evidence_type = 'field' AND evidence_key = 'measurements'").collect()
+    assert len(measured) == 4 and all(r.early for r in measured)
+    assert 0 < len(got[0, "field"].snippets) <= 5
+
+
+def test_the_query_of_document_evidence_gives_snippets(spark, tmp_path):
+    from casegrid.plans.bridge import Tables
+    from casegrid.plans.registry import all_queries
+
+    spark.createDataFrame([(6, "first line\nsecond line", "en", "web", 22)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.evidence_type: r for r in all_queries()["document_evidence"].build(Tables(spark, str(tmp_path))).collect()}
+    assert got["text_block"].snippets[0].startswith("Application Form") and len(got["text_block"].snippets) == 5
+    assert got["text_block"].rows > 5 and got["field"].snippets

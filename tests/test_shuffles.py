@@ -170,3 +170,14 @@ def test_a_graph_is_worked_out_once_for_its_summary(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not any(f"{name}.parquet" in plan for name in ("lineitem", "part", "documents"))
     assert [(r.total_nodes, r.total_edges, r.components) for r in found.collect()] == [(8, 35, 2)]
+
+
+def test_character_runs_of_texts_are_never_broadcast(spark):
+    from casegrid.operators.matching import contained_pairs
+
+    # stored rows look small, their runs are many
+    parts = spark.createDataFrame([("x", "abc"), ("x", "q"), ("x", ""), ("y", "abc")], "app_id string, part string")
+    texts = spark.createDataFrame([("x", "zabcd"), ("x", "ab"), ("y", "none"), (None, "abc")], "app_id string, text string")
+    found = contained_pairs(parts, texts, ["app_id"])
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["app_id"], r["part"], r["text"]) for r in found.collect()} == {("x", "abc", "zabcd"), ("x", "", "zabcd"), ("x", "", "ab")}

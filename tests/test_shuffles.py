@@ -181,3 +181,17 @@ def test_character_runs_of_texts_are_never_broadcast(spark):
     found = contained_pairs(parts, texts, ["app_id"])
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r["app_id"], r["part"], r["text"]) for r in found.collect()} == {("x", "abc", "zabcd"), ("x", "", "zabcd"), ("x", "", "ab")}
+
+
+def test_contradictions_are_added_where_claims_were_dealt(spark):
+    schema = "app_id string, node_id string, field_name string, field_value string, field_unit string, source string"
+    rows = [(a, f"n{k}", "floor_area", str(v), None, "form") for a in ("a", "b", None) for k, v in enumerate([10, 30])]
+    claims = spark.createDataFrame(rows, schema).repartition(4, "app_id")
+    # the second application knows one end only; nodes and edges come twice
+    nodes = spark.createDataFrame([("a", "n0"), ("a", "n1"), ("a", "n1"), ("b", "n0"), (None, "n0"), (None, "n1")], "app_id string, node_id string")
+    edges = spark.createDataFrame([(a, "n0", "n1", "CONTAINS") for a in ("a", "b", "b", None)], "app_id string, src string, dst string, edge_type string")
+    found = X.contradiction_edges(X.detect_conflicts(claims), nodes.repartition(4, "app_id"), edges.repartition(4, "app_id"))
+    assert exchanges(found) <= 3
+    got = sorted((r["app_id"] or "", r["src"], r["dst"], r["edge_type"]) for r in found.collect())
+    kept = [("", "n0", "n1", "CONTAINS"), ("b", "n0", "n1", "CONTAINS"), ("b", "n0", "n1", "CONTAINS")]
+    assert got == sorted([*kept, ("a", "n0", "n1", "CONTRADICTS"), ("a", "n1", "n0", "CONTRADICTS")])
